@@ -51,9 +51,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, max_bytes: int) -> bool:
     """True if the optimizer's size estimate of ``df`` is at most ``max_bytes``."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= max_bytes
+    return int(str(size)) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the estimated size allows it; otherwise leave it to AQE."""
-    return F.broadcast(df) if small_enough(df, max_bytes) else df
+    """Hint a broadcast if the estimated size allows it; beyond that a sort-merge join, which AQE can split by skew."""
+    return F.broadcast(df) if small_enough(df, max_bytes) else df.hint("merge")
