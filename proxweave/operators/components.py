@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_table, materialize
@@ -64,3 +64,66 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def number_rows(df: DataFrame, order: list[Column], into: str = "rank") -> DataFrame:
+    """``df`` with ``into``: 0, 1, ... in the order of ``order``, without one global sort task.
+
+    Rows are range-partitioned; each partition is numbered by itself, on top of how many rows come
+    before it. Only a count a partition reaches the driver.
+    """
+    spark = df.sparkSession
+    rows = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    sizes = sorted((r["__p"], r["count"]) for r in rows.groupBy("__p").count().collect())
+    base, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, base))
+        base += n
+    start = spark.createDataFrame(offsets, "__p int, __base long")
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return rows.join(F.broadcast(start), "__p").select(*df.columns, (F.col("__base") + rank - 1).alias(into))
+
+
+def dense_ids(df: DataFrame, key: str, into: str) -> DataFrame:
+    """``(key, into)``: distinct keys numbered 0, 1, ... in order."""
+    return number_rows(df.select(key).distinct(), [F.col(key)], into)
+
+
+def local_components(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """Least member of each node's component, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+def component_roots(nodes: DataFrame, edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
+    """``(id, root)`` for every node: the least id of its component.
+
+    Up to ``local_edges`` edges are united on the driver; more go through star contraction.
+    """
+    spark = edges.sparkSession
+    some = edges.select("src", "dst").limit(local_edges + 1).toArrow()
+    if some.num_rows <= local_edges:
+        found = local_components(zip(*(some.column(i).to_pylist() for i in (0, 1))))
+        roots = spark.createDataFrame(list(found.items()), "id long, root long")
+    else:
+        roots = materialize(star_components(edges), "roots").withColumnRenamed("component", "root")
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def component_labels(nodes: DataFrame, edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
+    """``(id, component)``: components numbered from 0 in the order of their least members."""
+    roots = component_roots(nodes, edges, local_edges)
+    return roots.join(dense_ids(roots, "root", "component"), "root").select("id", F.col("component").cast("int").alias("component"))
