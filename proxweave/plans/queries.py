@@ -107,7 +107,7 @@ def mutual_knn_edges(spark, sf):
     return mutual_edges(knn_exact(vectors(spark, sf), 10)).select("src", "dst", r6("weight"))
 
 
-@query("WITH " + base(10, "list_sum(list_transform(list_zip(a.x, b.x), t -> abs(t[1] - t[2])))") + " SELECT src, dst, round(d, 6) AS distance FROM k")
+@query("WITH " + base(10, "list_sum(list_transform(list_zip(a.x, b.x), lambda t: abs(t[1] - t[2])))") + " SELECT src, dst, round(d, 6) AS distance FROM k")
 def knn_manhattan(spark, sf):
     return knn_exact(vectors(spark, sf), 10, "manhattan").select("src", "dst", r6("distance"))
 
@@ -117,7 +117,7 @@ def knn_approximate(spark, sf):
     return knn_ivf(vectors(spark, sf), 10, cells=16, probes=8).select("src", "dst", "distance")
 
 
-MANH = G + ", w AS (SELECT e.src, e.dst, e.weight AS euclid_dist, list_sum(list_transform(list_zip(a.x, c.x), t -> abs(t[1] - t[2]))) AS weight FROM e JOIN v a ON a.id = e.src JOIN v c ON c.id = e.dst)"
+MANH = G + ", w AS (SELECT e.src, e.dst, e.weight AS euclid_dist, list_sum(list_transform(list_zip(a.x, c.x), lambda t: abs(t[1] - t[2]))) AS weight FROM e JOIN v a ON a.id = e.src JOIN v c ON c.id = e.dst)"
 
 
 @query(MANH + " SELECT src, dst, round(weight, 6) AS weight, round(euclid_dist, 6) AS euclid_dist FROM w")
@@ -270,11 +270,6 @@ def prune_at_knee(spark, sf):
     return R.prune(fixed_graph(spark, sf), preserve_mst=False).edges.select("src", "dst", r6("weight"))
 
 
-@query()
-def prune_keeping_forest(spark, sf):
-    return R.prune(fixed_graph(spark, sf), SHORT).edges
-
-
 @query(G + " SELECT DISTINCT x.dst AS src, y.dst AS dst FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = x.dst AND e.dst = y.dst)")
 def two_hop_candidates(spark, sf):
     return R.two_hop(graph(spark, sf))
@@ -305,21 +300,31 @@ def build_and_refine(spark, sf):
     return build_graph(nodes, iterations=1).graph.edges
 
 
-@query("WITH RECURSIVE " + base(3) + """, o AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight, src, dst) AS i FROM e),
+def forest_sql(k: int) -> str:
+    """Kruskal as a recursion over the edges in order; labels are a list by id."""
+    return "WITH RECURSIVE " + base(k) + """, o AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight, src, dst) AS i FROM e),
 lab AS (
-  SELECT 0 AS step, list_transform(range(0, (SELECT max(id) + 1 FROM v)), z -> z) AS l, false AS took
+  SELECT 0 AS step, range(0, (SELECT max(id) + 1 FROM v)) AS l, false AS took
   UNION ALL
-  SELECT step + 1, CASE WHEN l[o.src + 1] = l[o.dst + 1] THEN l ELSE list_transform(l, z -> CASE WHEN z = greatest(l[o.src + 1], l[o.dst + 1]) THEN least(l[o.src + 1], l[o.dst + 1]) ELSE z END) END, l[o.src + 1] <> l[o.dst + 1]
+  SELECT step + 1, CASE WHEN l[o.src + 1] = l[o.dst + 1] THEN l ELSE list_transform(l, lambda z: CASE WHEN z = greatest(l[o.src + 1], l[o.dst + 1]) THEN least(l[o.src + 1], l[o.dst + 1]) ELSE z END) END, l[o.src + 1] <> l[o.dst + 1]
   FROM lab JOIN o ON o.i = lab.step + 1
-)
-SELECT o.src, o.dst, round(o.weight, 6) AS weight FROM o JOIN lab ON lab.step = o.i WHERE took""")
+),
+tree AS (SELECT o.src, o.dst, o.weight FROM o JOIN lab ON lab.step = o.i WHERE took)"""
+
+
+@query(forest_sql(3) + " SELECT src, dst, round(weight, 6) AS weight FROM tree")
 def mst_edges(spark, sf):
     return minimum_forest(graph(spark, sf, 3)).select("src", "dst", r6("weight"))
 
 
-@query()
+@query(forest_sql(3) + " SELECT e.src, e.dst, round(e.weight, 6) AS weight, tree.src IS NOT NULL AS is_mst FROM e LEFT JOIN tree ON tree.src = e.src AND tree.dst = e.dst")
 def forest_flags(spark, sf):
-    return flag_forest(fixed_graph(spark, sf))
+    return flag_forest(fixed_graph(spark, sf, 3)).select("src", "dst", r6("weight"), "is_mst")
+
+
+@query(forest_sql(3) + f" SELECT src, dst, round(weight, 6) AS weight FROM e WHERE weight <= {SHORT} UNION SELECT src, dst, round(weight, 6) FROM tree")
+def prune_keeping_forest(spark, sf):
+    return R.prune(fixed_graph(spark, sf, 3), SHORT).edges.select("src", "dst", r6("weight"))
 
 
 # --- similarity, sparsification, coarsening
@@ -649,14 +654,21 @@ def kernel_density(spark, sf):
 # --- paths, centralities, structure
 
 
-@query()
+def reach_sql(start: str) -> str:
+    """Distances by relaxation, one row a (source, node), improved until nothing changes."""
+    return ", far(s, n, d) USING KEY (s, n) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM v" + start + """ UNION
+SELECT t.s, t.n, t.d FROM (SELECT far.s, b.dst AS n, min(far.d + b.weight) AS d FROM far JOIN b ON b.src = far.n GROUP BY far.s, b.dst) t
+LEFT JOIN recurring.far r ON r.s = t.s AND r.n = t.n WHERE r.n IS NULL OR t.d < r.d)"""
+
+
+@query(G + reach_sql(" WHERE id = 0") + " SELECT n AS target, round(d, 6) AS distance FROM far WHERE n <> 0")
 def shortest_paths_from_source(spark, sf):
-    return P.shortest_paths(fixed_graph(spark, sf), ids(spark, sf), 0).select("target", "distance", F.size("path").alias("hops"))
+    return P.shortest_paths(fixed_graph(spark, sf), ids(spark, sf), 0).select("target", r6("distance"))
 
 
-@query()
+@query(K3.replace("WITH", "WITH RECURSIVE") + reach_sql("") + ", c AS (SELECT s, CASE WHEN sum(d) > 0 THEN ((SELECT count(*) FROM v) - 1) / sum(d) ELSE 0 END AS c FROM far GROUP BY s) SELECT s AS id, round(c / (SELECT max(c) FROM c), 6) AS centrality FROM c")
 def closeness_centrality(spark, sf):
-    return P.closeness(fixed_graph(spark, sf), ids(spark, sf))
+    return P.closeness(fixed_graph(spark, sf, 3), ids(spark, sf)).select("id", r6("centrality"))
 
 
 @query()
@@ -669,17 +681,21 @@ def edge_betweenness_centrality(spark, sf):
     return P.edge_betweenness(fixed_graph(spark, sf), ids(spark, sf), sample=100)
 
 
-@query()
+@query(SHORT_G + reach_sql("").replace("JOIN b ON b.src", "JOIN qw b ON b.src").replace(", far(", ", qw AS (SELECT src, dst, weight FROM q UNION ALL SELECT dst, src, weight FROM q), far(") + " SELECT component, count(DISTINCT s) AS size, round(max(d), 6) AS diameter FROM far JOIN comp ON comp.id = far.s GROUP BY component")
 def component_diameters(spark, sf):
-    return P.diameters(_short(spark, sf), ids(spark, sf))
+    return P.diameters(_short(spark, sf), ids(spark, sf)).select("component", "size", r6("diameter"))
 
 
-@query()
+@query(SHORT_G + """, cw AS (SELECT src AS cs, dst AS cd, src AS n FROM q UNION SELECT cs, cd, qb.dst FROM cw JOIN qb ON qb.src = cw.n WHERE NOT (least(qb.src, qb.dst) = cs AND greatest(qb.src, qb.dst) = cd)),
+part AS (SELECT cs, cd, count(*) AS n, bool_or(n = cd) AS back FROM cw GROUP BY cs, cd), z AS (SELECT component, count(*) AS size FROM comp GROUP BY component)
+SELECT cs AS src, cd AS dst, CAST(1 AS BIGINT) AS importance, CAST(least(n, size - n) AS BIGINT) AS side FROM part JOIN comp ON comp.id = cs JOIN z USING (component) WHERE NOT back""")
 def structural_bridges(spark, sf):
     return P.structural_bridges(_short(spark, sf), ids(spark, sf))
 
 
-@query()
+@query(SHORT_G + """, cw AS (SELECT src AS x, dst AS s, dst AS n FROM qb UNION SELECT x, s, qb.dst FROM cw JOIN qb ON qb.src = cw.n WHERE qb.dst <> x),
+low AS (SELECT x, s, min(n) AS low FROM cw GROUP BY x, s)
+SELECT x AS id, CAST(count(DISTINCT low) - 1 AS BIGINT) AS importance FROM low GROUP BY x HAVING count(DISTINCT low) > 1""")
 def articulation_points(spark, sf):
     return P.articulation_points(_short(spark, sf), ids(spark, sf))
 
