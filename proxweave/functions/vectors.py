@@ -6,6 +6,8 @@ import importlib
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +65,6 @@ def premetric(which: str | Premetric) -> Premetric:
 
 def scalar_premetric(fn: Callable) -> Premetric:
     """A premetric from a Python function of two NumPy vectors, applied in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(fn(np.asarray(x), np.asarray(y))) for x, y in zip(a, b)])
@@ -75,9 +74,6 @@ def scalar_premetric(fn: Callable) -> Premetric:
 
 def vector_premetric(fn: Callable) -> Premetric:
     """A premetric from a Python function of two NumPy matrices, a distance a row."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(fn(np.stack(a.to_numpy()), np.stack(b.to_numpy()))) if len(a) else pd.Series([], dtype=float)
