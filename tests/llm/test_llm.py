@@ -537,16 +537,23 @@ def test_rules(spark, odd, empty):
 
 
 def test_distances_are_jensen_shannon(spark):
-    en = " ".join(w for w, n in quality_rules.COMMON_WORDS["en"].items() for _ in range(n)) + " filler" * 100
-    docs = spark.createDataFrame([(0, en), (1, "zq%% " * 100)], "doc_id long, text string")
+    shares = {k: np.array([*w.values(), 1000 - sum(w.values())]) / 1000 for k, w in quality_rules.COMMON_WORDS.items()}
+    en = quality_rules.COMMON_WORDS["en"]
+    text = " ".join(w for w, n in en.items() for _ in range(n)) + " filler" * round(1000 * shares["en"][-1])
+    docs = spark.createDataFrame([(0, text), (1, "zq%% " * 100)], "doc_id long, text string")
     p = pdf(quality_rules.quality_rules(docs, max_repeat_percent=100), "doc_id")
-    assert p.char_distance[0] < p.char_distance[1]
     assert not p.kept[1]
-    have = np.array([*quality_rules.COMMON_WORDS["en"].values(), 100]) / (sum(quality_rules.COMMON_WORDS["en"].values()) + 100)
-    want = np.array([*quality_rules.COMMON_WORDS["en"].values(), 1000 - sum(quality_rules.COMMON_WORDS["en"].values())]) / 1000
-    m = (have + want) / 2
-    js = np.sqrt((have * np.log2(have / m)).sum() / 2 + (want * np.log2(want / m)).sum() / 2)
-    assert p.word_distance[0] == pytest.approx(js, abs=1e-9)
+
+    def js(p, q):
+        m = (p + q) / 2
+        kl = lambda x: (x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()
+        return np.sqrt((kl(p) + kl(q)) / 2)
+
+    assert p.word_distance[0] == pytest.approx(0, abs=1e-6)
+    none = {k: np.eye(len(q))[-1] for k, q in shares.items()}
+    assert p.word_distance[1] == pytest.approx(min(js(none[k], q) for k, q in shares.items()))
+    chars = np.array(list(quality_rules.CHARACTERS.values())) / sum(quality_rules.CHARACTERS.values())
+    assert p.char_distance[1] == pytest.approx(js(np.array([2, 0, 1, 0, 0, 2]) / 5, chars))
 
 
 # queries and the pipeline
