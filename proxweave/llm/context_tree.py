@@ -28,6 +28,45 @@ def grams(text: bytes, depth: int) -> np.ndarray:
     return key
 
 
+class GramTable:
+    """Values by gram, in an open-addressing table of arrays: a lookup of many grams is a few gathers."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[left[free]]
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def total(self, keys: np.ndarray) -> float:
+        """Sum of the values of ``keys``, all of which are in the table."""
+        slot, out = self._slot(keys), 0.0
+        while True:
+            hit = self.keys[slot] == keys
+            if hit.all():
+                return out + float(self.values[slot].sum())
+            out += float(self.values[slot[hit]].sum())
+            keys, slot = keys[~hit], (slot[~hit] + 1) & self.mask
+
+
+def add_counts(keys: np.ndarray, sums: np.ndarray, more: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums, with ``weight`` added for every item of ``more``."""
+    new, n = np.unique(more, return_counts=True)
+    both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+    total = np.zeros(len(both), np.int64)
+    total[at[: len(keys)]] = sums
+    total[at[len(keys) :]] += weight * n
+    return both, total
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x >= 0.5: Stirling's series at x + 8, stepped down."""
     y = x + 8.0
@@ -143,34 +182,32 @@ def block_dictionary(blocks: DataFrame, depth: int) -> DataFrame:
         words: Counter[bytes] = Counter()
         also: set[bytes] = set()
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        queue: list[tuple[np.ndarray, bool]] = []
-        held = 0
-
-        def merge():
-            nonlocal keys, sums, queue, held
-            if queue:
-                g = np.concatenate([q for q, _ in queue])
-                w = np.concatenate([np.full(len(q), train, np.int64) for q, train in queue])
-                for part in range(0, len(g), CHUNK):
-                    u, inv = np.unique(np.concatenate([keys, g[part : part + CHUNK]]), return_inverse=True)
-                    total = np.bincount(inv, np.concatenate([sums, w[part : part + CHUNK]]), len(u))
-                    keys, sums = u, total.astype(np.int64)
-            queue, held = [], 0
+        queues: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])  # held out, training
+        waiting = [0, 0]
+
+        def merge(train: bool):
+            nonlocal keys, sums
+            if queues[train]:
+                keys, sums = add_counts(keys, sums, np.concatenate(queues[train]), int(train))
+            queues[train].clear()
+            waiting[train] = 0
 
         for t, out in zip(table.column("t"), table.column("held_out")):
             text, train = t.as_py() or b"", not out.as_py()
             g = grams(text, depth)
-            queue.append((g, train))
-            held += len(g)
-            if held >= CHUNK:
-                merge()
+            for i in range(0, len(g), CHUNK):
+                queues[train].append(g[i : i + CHUNK])
+                waiting[train] += len(queues[train][-1])
+                if waiting[train] >= CHUNK:
+                    merge(train)
             tokens = text.lower().split()
             if train:
                 words.update(tokens)
                 words[END] += 1
             else:
                 also.update(tokens)
-        merge()
+        merge(False)
+        merge(True)
         also.add(END)
         also.difference_update(words)
         g, w = len(keys), len(words) + len(also)
@@ -249,9 +286,7 @@ def context_tree_scores(
         word = right.column("word")
         is_gram = right.column("gram").is_valid().to_numpy()
         v = right.column("v").to_numpy()
-        keys, vals = right.column("gram").filter(is_gram).to_numpy(), v[is_gram]
-        order = np.argsort(keys)
-        keys, vals = keys[order], vals[order]
+        values = GramTable(right.column("gram").filter(is_gram).to_numpy(), v[is_gram])
         known = dict(zip(word.filter(~is_gram).to_pylist(), v[~is_gram].tolist()))
         rows = []
         for t in left.column("t"):
@@ -260,7 +295,7 @@ def context_tree_scores(
             tokens.append(END)
             c = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
             g = grams(data, depth)
-            s = sum(float(vals[np.searchsorted(keys, g[i : i + CHUNK])].sum()) for i in range(0, len(g), CHUNK))
+            s = sum(values.total(g[i : i + CHUNK]) for i in range(0, len(g), CHUNK))
             rows.append((len(tokens), int((c > 0).sum()), float(np.log10((c + 1) / scale).sum()), s, -s / math.log10(2) / len(g)))
         cols = list(zip(*rows)) or [()] * 5
         names = ["n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
