@@ -36,7 +36,7 @@ def prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
     distinct = windows.groupBy("win").agg(F.collect_set("item").alias("items"))
     ranked = (
         distinct.select("win", "items", F.posexplode("win").alias("at", "word"))
-        .join(rarity, "word", "left")
+        .join(broadcast_if_small(rarity), "word", "left")
         .withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "word", "at")))
     )
     return ranked.where("rank = 1").select("win", "items", "word", "at")
@@ -70,7 +70,7 @@ def contaminated_spans(
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), words_of(F.col(text_col)).alias("w"))
     every = texts.select(F.explode("w").alias("word"))
     rarity = every.join(broadcast_if_small(vocabulary, broadcast_bytes), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    first = materialize(prefixes(windows, rarity), "prefixes")
+    first = materialize(prefixes(windows, materialize(rarity, "rarity")), "prefixes")
     end = docs.sparkSession.range(1).select(
         F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast(first.schema["items"].dataType).alias("items"), F.lit("").alias("word"), F.lit(0).alias("at")
     )
