@@ -18,6 +18,11 @@ from proxweave.llm.sentence_pieces import encode_pieces
 from proxweave.llm.simhash import simhash_components
 from proxweave.session import materialize, table
 
+# Two texts of equal length that share 0.8 of their distinct shingles have a cosine of 8/9, and so are
+# expected to differ in acos(8/9) / pi of all bits: 38.8 of 256, 9.7 of the first 64.
+WIDE_BITS = 39
+CANDIDATE_BITS = 11
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -28,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id."""
-    found = simhash_components(docs, shingle=5)
+    found = simhash_components(docs, shingle=5, tau=CANDIDATE_BITS, words=4, wide=WIDE_BITS)
     return docs.join(found.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti")
 
 

@@ -17,37 +17,61 @@ BITS = 64
 BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of UTF-8 bytes: words between ASCII white space, A-Z lower-cased, repeats counted.
-
-    No word at all: 0. Fewer words than ``shingle``: the whole sequence is the one shingle.
-    """
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        grams, n = iter([b" ".join(words)]), 1
+def spread(h: np.ndarray, word: int) -> np.ndarray:
+    """The ``word``-th independent hash derived from 64-bit hashes; word 0 is the hash itself."""
+    if not word:
+        return h
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_words(text: bytes | None, shingle: int, words: int, seed: int = 42) -> np.ndarray:
+    """SimHash of UTF-8 bytes in ``words`` 64-bit parts; see :func:`fingerprint`."""
+    tokens = (text or b"").lower().split()
+    if not tokens:
+        return np.zeros(words, dtype=np.uint64)
+    if len(tokens) < shingle:
+        grams, n = iter([b" ".join(tokens)]), 1
     else:
-        grams, n = map(b" ".join, zip(*(words[i:] for i in range(shingle)))), len(words) - shingle + 1
+        grams, n = map(b" ".join, zip(*(tokens[i:] for i in range(shingle)))), len(tokens) - shingle + 1
     hashes = map(xxhash.xxh64_intdigest, grams, repeat(seed))
-    ones, left = np.zeros(BITS, dtype=np.int64), n
+    ones, left = np.zeros((words, BITS), dtype=np.int64), n
     while left:
         part = np.fromiter(hashes, dtype="<u8", count=min(left, BLOCK))
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for w in range(words):
+            bits = np.unpackbits(spread(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[w] += bits.sum(0, dtype=np.int64)
         left -= len(part)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of UTF-8 bytes: words between ASCII white space, A-Z lower-cased, repeats counted.
 
+    No word at all: 0. Fewer words than ``shingle``: the whole sequence is the one shingle.
+    """
+    return int(fingerprint_words(text, shingle, 1, seed)[0])
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)``: the fingerprint of each row's whole text, as a signed long. A null text has none of words: 0."""
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+    """``(id, fp, rest)``: the fingerprint of each row's whole text, as signed longs; ``rest`` are its parts after the first.
+
+    A null text has no words: all zeros.
+    """
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = np.zeros((b.num_rows, words), dtype=np.uint64)
+            for i, t in enumerate(b.column(1)):
+                fp[i] = fingerprint_words(t.as_py(), shingle, words)
+            fp = fp.view(np.int64)
+            rest = pa.ListArray.from_arrays(np.arange(len(fp) + 1, dtype=np.int32) * (words - 1), pa.array(fp[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp[:, 0]), rest], names=["id", "fp", "rest"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long, rest array<long>")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -116,76 +140,109 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+ROW_COST = 500  # of a probe row, in comparisons of two fingerprints
+
+
+def far(chance: np.ndarray, reach: int) -> np.ndarray:
+    """Chance that at most 0 .. ``reach`` bits differ, if bit i does with ``chance[i]``."""
+    dist = np.array([1.0])
+    for d in chance:
+        dist = np.append(dist, 0) * (1 - d) + np.append(0, dist) * d
+    return np.cumsum(np.append(dist, np.zeros(reach + 1)))[: reach + 1]
+
+
+def part_cost(n: int, chance: np.ndarray, tau: int, equal_pairs: float | None = None) -> list[float]:
+    """Estimated cost of a part at each threshold 0 .. ``tau``: its probe rows, and candidates of all rows.
+
+    Both sides of a pair probe half of the threshold, rounded up, so candidates differ in up to twice
+    that. ``equal_pairs`` are counted pairs of equal values; larger distances scale them up.
+    """
+    near = far(chance, tau + 2)
+    at_zero = n * n * near[0] if equal_pairs is None else equal_pairs
+    return [n * ball(len(chance), -(-t // 2)) * ROW_COST + at_zero * near[2 * -(-t // 2)] / max(near[0], 1e-300) for t in range(tau + 1)]
+
+
 def plan_parts(fps: DataFrame, tau: int) -> tuple[list[list[int]], list[int], tuple[int, np.ndarray]]:
     """Parts, their thresholds, and the bit moments.
 
     By the general pigeonhole principle, fingerprints within ``tau`` bits agree up to T_i bits in
-    some part i if the T_i add up to ``tau - parts + 1``. A part's candidates at T = 0 are counted
-    exactly (pairs of equal values); for larger T they grow by the chance, from the bits' own
-    frequencies, that two values differ in so many bits. Probes cost a row each.
+    some part i if the T_i add up to ``tau - parts + 1``. The number of parts is the cheapest for even
+    bits. Then candidates at T = 0 are counted exactly in each part (pairs of equal values), and
+    larger T scaled by the chance, from the bits' own frequencies, that values differ in so few bits.
     """
     n, both = bit_moments(fps)
-    parts = correlated_groups(n, both, list(range(BITS)), tau + 1)
+    price = {}
+    for m in range(1, tau + 2):
+        cost = [part_cost(n, np.full(BITS // m + (i < BITS % m), 0.5), tau) for i in range(m)]
+        plan = allocate(cost, tau - m + 1)
+        price[m] = sum(c[t] for c, t in zip(cost, plan) if t >= 0)
+    parts = correlated_groups(n, both, list(range(BITS)), min(price, key=price.get))
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("v")) for i, p in enumerate(parts)])
     hist = fps.select(F.explode(keys).alias("k")).groupBy("k.part", "k.v").count()
     pairs = {r["part"]: float(r["c"] or 0) for r in hist.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("c")).collect()}
     freq = np.diag(both) / max(n, 1)
-    cost = []
-    for i, bits in enumerate(parts):
-        dist = np.array([1.0])  # chance of each number of differing bits
-        for b in bits:
-            d = 2 * freq[b] * (1 - freq[b])
-            dist = np.append(dist, 0) * (1 - d) + np.append(0, dist) * d
-        near = np.cumsum(dist)[: tau + 1]
-        cost.append([pairs.get(i, 0.0) * x / max(near[0], 1e-30) + n * ball(len(bits), t) for t, x in enumerate(near)])
+    cost = [part_cost(n, 2 * freq[bits] * (1 - freq[bits]), tau, pairs.get(i, 0.0)) for i, bits in enumerate(parts)]
     return parts, allocate(cost, tau - len(parts) + 1), (n, both)
 
 
-def local_stars(values: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Edges from the least member to the others of each component of values linked at ``tau`` bits or fewer.
+def local_stars(values: np.ndarray, tau: int, ids: np.ndarray | None = None, wide: int | None = None) -> list[tuple[int, int]]:
+    """Edges from the least member to the others of each component linked at ``tau`` bits or fewer of the first word.
 
-    Breadth first; each member is compared once with those not reached yet, so nothing of the size
-    of all pairs is ever held.
+    ``values`` holds a fingerprint a row; with ``wide``, all words together may differ in that many bits
+    too. Members are named by ``ids``, or else by their first word. Breadth first; each member is
+    compared once with those not reached yet, so nothing of the size of all pairs is ever held.
     """
-    left = np.unique(values).view(np.uint64)
+    left = values.reshape(len(values), -1)
+    names = left[:, 0] if ids is None else ids
+    left = left.view(np.uint64)
     out = []
     while len(left) > 1:
-        root, left, queue = left[0], left[1:], [left[0]]
-        seen = [root]
+        queue, seen = [left[0]], [names[0]]
+        left, names = left[1:], names[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= tau
+            differ = np.bitwise_count(left ^ queue.pop())
+            near = differ[:, 0] <= tau
+            if wide is not None:
+                near &= differ.sum(1, dtype=np.int64) <= wide
             if near.any():
                 queue.extend(left[near])
-                seen.extend(left[near])
-                left = left[~near]
-        ids = np.array(seen, dtype=np.uint64).view(np.int64).tolist()
-        low = min(ids)
-        out.extend((low, x) for x in ids if x != low)
+                seen.extend(names[near])
+                left, names = left[~near], names[~near]
+        low = min(seen)
+        out.extend((int(low), int(x)) for x in seen if x != low)
     return out
 
 
 BUCKET = ["part", "anchor", "sub", "key"]
 
 
-def pigeonhole_links(fps: DataFrame, tau: int = 2, bucket_rows: int = 1024) -> DataFrame:
-    """``(src, dst)`` edges that connect exactly what links at ``tau`` bits or fewer connect.
+def pigeonhole_links(fps: DataFrame, tau: int = 2, bucket_rows: int = 1024, wide: int | None = None) -> DataFrame:
+    """``(src, dst)`` edges that connect exactly what links connect.
+
+    ``fps`` holds distinct fingerprints ``(fp, rest, name)``; ``name`` is a long that stands for one in
+    the result. Two link if ``fp`` differs in ``tau`` bits or fewer and, with ``wide``, all words
+    together in ``wide`` or fewer. Each is put into the buckets within half of every part's threshold
+    around its value, so that two within the threshold meet. A bucket of up to ``bucket_rows`` is
+    verified in one task, by distance, and leaves a star per component, never all its pairs.
 
-    ``fps`` holds distinct fingerprints ``fp``. Each is put into the bucket of its value in every part
-    that has a threshold, and into those within the threshold. A bucket of up to ``bucket_rows`` is
-    verified in one task, by distance, and leaves a star per component, never all its pairs. A larger
-    bucket is split again: its members agree in the part, so the rest of the bits is cut into
-    ``tau + 1`` groups, one of which must agree for any two that link. This repeats until few free
-    bits bound the bucket by themselves; no candidate is dropped.
+    A larger bucket is split. If its part leaves enough bits, these are cut into ``tau + 1`` groups,
+    one of which must agree for any two that link, and this repeats until few free bits bound the
+    bucket by themselves. Else the bucket is cut into blocks, and each pair of blocks is a bucket of
+    its own. No candidate is dropped.
     """
     parts, limits, (n, both) = plan_parts(fps, tau)
-    probes = []
-    for i, (bits, t) in enumerate(zip(parts, limits)):
-        flips = [_mask(list(c)) for r in range(t + 1) for c in combinations(bits, r)] if t >= 0 else []
+    none = F.array().cast("array<struct<part:int,anchor:long>>")
+
+    def probes(part: int):
+        bits, reach = parts[part], -(-limits[part] // 2)
+        flips = [_mask(list(c)) for r in range(reach + 1) for c in combinations(bits, r)]
         own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        probes += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(f)).alias("anchor")) for f in flips]
-    rows = fps.select("fp", F.explode(F.array(*probes)).alias("p")).select(
-        "fp", "p.part", "p.anchor", F.lit(0).cast("long").alias("sub"), F.lit(0).cast("long").alias("key")
-    )
+        return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("anchor")))
+
+    probed = [probes(i) if t >= 0 else none for i, t in enumerate(limits)]
+    zero = F.lit(0).cast("long")
+    member = F.struct("fp", "rest", "name").alias("m")
+    rows = fps.select(member, F.explode(F.concat(*probed)).alias("p")).select("m", "p.part", "p.anchor", zero.alias("sub"), zero.alias("key"))
 
     free = {(i, 0): [b for p in parts if p is not parts[i] for b in p] for i in range(len(parts)) if limits[i] >= 0}
     masks = {k: [] for k in free}  # bits fixed by refinement, for each (part, sub)
@@ -193,9 +250,17 @@ def pigeonhole_links(fps: DataFrame, tau: int = 2, bucket_rows: int = 1024) -> D
 
     def verify(batches):
         for b in batches:
-            edges = [e for v in b.column(0) for e in local_stars(np.array(v.as_py(), dtype=np.int64), tau)]
+            edges = []
+            for bucket in b.column(0):
+                m = bucket.values
+                fp = m.field("fp").to_numpy()
+                rest = m.field("rest").flatten().to_numpy().reshape(len(fp), -1)
+                edges += local_stars(np.column_stack([fp, rest]) if rest.size else fp.copy(), tau, m.field("name").to_numpy(), wide)
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
+    def verified(buckets: DataFrame, *keys) -> DataFrame:
+        return buckets.groupBy(*keys).agg(F.collect_list("m").alias("ms")).select("ms").mapInArrow(verify, "src long, dst long")
+
     spark = fps.sparkSession
     while True:
         sizes = materialize(rows.groupBy(*BUCKET).count().where("count > 1"), "bucket-sizes")
@@ -203,20 +268,20 @@ def pigeonhole_links(fps: DataFrame, tau: int = 2, bucket_rows: int = 1024) -> D
         tight = F.lit(False)
         for part, sub in bounded:
             tight = tight | ((F.col("part") == part) & (F.col("sub") == sub))
-        hot = sizes.where((F.col("count") > bucket_rows) & ~tight).select(*BUCKET)
+        hot = sizes.where((F.col("count") > bucket_rows) & ~tight)
         split = bool(hot.take(1))
         warm = sizes.where((F.col("count") <= bucket_rows) | tight).select(*BUCKET)
         calm = rows.join(hot, BUCKET, "left_anti") if split else rows
-        found = (
-            calm.join(warm, BUCKET)
-            .groupBy(*BUCKET)
-            .agg(F.collect_list("fp").alias("fps"))
-            .select("fps")
-            .mapInArrow(verify, "src long, dst long")
-        )
+        found = verified(calm.join(warm, BUCKET), *BUCKET)
         links = found if links is None else links.unionByName(found)
         if not split:
             return links.distinct()
+        if min(map(len, free.values())) // (tau + 1) < 5:
+            blocks = F.ceil(2 * F.col("count") / bucket_rows).cast("int")
+            own = F.pmod(F.xxhash64("m.name"), F.col("blocks")).cast("int")
+            cut = rows.join(hot.withColumn("blocks", blocks), BUCKET).select("m", *BUCKET, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            pairs = cut.select("m", *BUCKET, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+            return links.unionByName(verified(pairs, *BUCKET, "x", "y")).distinct()
         finer, steps = {}, []
         for (part, sub), bits in free.items():
             if (part, sub) in bounded:
@@ -231,25 +296,38 @@ def pigeonhole_links(fps: DataFrame, tau: int = 2, bucket_rows: int = 1024) -> D
         rows = materialize(
             rows.join(hot, BUCKET, "left_semi")
             .join(F.broadcast(step), ["part", "sub"])  # 3 * (tau + 1) ** level rows
-            .select("fp", "part", "anchor", F.col("finer").alias("sub"), F.col("fp").bitwiseAND(F.col("finer")).alias("key")),
+            .select("m", "part", "anchor", F.col("finer").alias("sub"), F.col("m.fp").bitwiseAND(F.col("finer")).alias("key")),
             "hot-buckets",
         )
 
 
 def simhash_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 2, bucket_rows: int = 1024
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    tau: int = 2,
+    words: int = 1,
+    wide: int | None = None,
+    bucket_rows: int = 1024,
 ) -> DataFrame:
     """``(id, fp, component_id)`` for each row: its fingerprint and the least id that links reach from it.
 
-    Exact copies share a fingerprint and are grouped before any join. Rows without words have
-    fingerprint 0 and link like others. A null id never is a component's id unless all its ids are
-    null. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    Exact copies share a fingerprint and are grouped before any join. With more ``words``, a fingerprint
+    has that many 64-bit parts; the first finds candidates at ``tau`` bits, and all of them together
+    must agree up to ``wide`` bits. Rows without words have fingerprint 0 and link like others. A null
+    id never is a component's id unless all its ids are null. Repeated rows stay; an empty table gives
+    an empty result; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    fps = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = materialize(star_components(pigeonhole_links(fps, tau, bucket_rows)), "roots")
-    linked = fps.join(roots.withColumnRenamed("id", "fp"), "fp")
+    key = ["fp", "rest"] if words > 1 else ["fp"]
+    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words), "fingerprints")
+    each = prints.groupBy(*key).agg(F.min("id").alias("low"), F.first("rest").alias("rest")) if words == 1 else prints.groupBy(*key).agg(F.min("id").alias("low"))
+    # one word names itself; more are named by a hash of all
+    fps = materialize(each.withColumn("name", F.col("fp") if words == 1 else F.xxhash64("fp", "rest")), "distinct-fingerprints")
+    roots = materialize(star_components(pigeonhole_links(fps, tau, bucket_rows, wide)), "roots")
+    linked = fps.select("name", "low").join(roots.withColumnRenamed("id", "name"), "name")
     lowest = linked.groupBy("component").agg(F.min("low").alias("least"))
-    named = linked.select("fp", "component").join(lowest, "component").select("fp", "least")
-    labels = fps.join(named, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = linked.select("name", "component").join(lowest, "component").select("name", "least")
+    labels = materialize(fps.join(named, "name", "left").select(*key, F.coalesce("least", "low").alias("component_id")), "labels")
+    return prints.join(labels, key).select(F.col("id").alias(id_col), "fp", "component_id")

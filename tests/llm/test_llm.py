@@ -153,7 +153,8 @@ def test_hot_buckets_keep_every_link(spark, bucket_rows):
             fps.add(x)
     fps |= {rng.getrandbits(64) for _ in range(100)}
     fps = sorted(fps)
-    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    df = spark.createDataFrame([(x, [], x) for x in signed], "fp long, rest array<long>, name long")
     links = simhash.pigeonhole_links(df, 2, bucket_rows).collect()
     parent = {x: x for x in fps}
 
@@ -169,6 +170,38 @@ def test_hot_buckets_keep_every_link(spark, bucket_rows):
     assert [fps.index(find(x)) for x in fps] == want
 
 
+@pytest.mark.parametrize("bucket_rows", [8, 1024])
+def test_wide_threshold_keeps_every_link(spark, bucket_rows):
+    rng = random.Random(11)
+    base = [[rng.getrandbits(64) for _ in range(2)] for _ in range(12)]
+    fps = {tuple(b) for b in base}
+    for b in base:
+        for _ in range(8):
+            x = list(b)
+            for bit in rng.sample(range(128), rng.randint(1, 24)):
+                x[bit // 64] ^= 1 << (bit % 64)
+            fps.add(tuple(x))
+    fps = sorted(fps)
+    sign = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(sign(a), [sign(b)], i) for i, (a, b) in enumerate(fps)], "fp long, rest array<long>, name long")
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in simhash.pigeonhole_links(df, 11, bucket_rows, 19).collect():
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = [find(i) for i in range(len(fps))]
+    parent = list(range(len(fps)))
+    for i, (a, b) in enumerate(fps):
+        for j, (c, d) in enumerate(fps[:i]):
+            if (a ^ c).bit_count() <= 11 and (a ^ c).bit_count() + (b ^ d).bit_count() <= 19:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == [find(i) for i in range(len(fps))]
+
+
 def test_allocation_is_optimal():
     rng = random.Random(2)
     for parts in (2, 3, 4):
@@ -594,8 +627,19 @@ def test_pipeline(spark):
         assert after.columns == cols
         if name.startswith("simhash"):
             ids = sorted(old)
-            fps = [simhash.fingerprint((old[i]["text"] or "").encode(), 5) for i in ids]
-            assert set(rows) == {ids[c] for c in brute_components(fps)}
+            fps = [simhash.fingerprint_words((old[i]["text"] or "").encode(), 5, 4) for i in ids]
+            parent = list(range(len(ids)))
+            for i in range(len(ids)):
+                for j in range(i):
+                    d = np.bitwise_count(fps[i] ^ fps[j])
+                    if d[0] <= cp.CANDIDATE_BITS and d.sum() <= cp.WIDE_BITS:
+                        a, b = i, j
+                        while parent[a] != a:
+                            a = parent[a]
+                        while parent[b] != b:
+                            b = parent[b]
+                        parent[max(a, b)] = min(a, b)
+            assert set(rows) == {ids[i] for i in range(len(ids)) if parent[i] == i}
         elif name.startswith("benchmark"):
             assert set(rows) == {i for i, r in old.items() if not brute_hits(r["text"], items)[1]}
         elif name == "pii":
