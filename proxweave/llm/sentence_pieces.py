@@ -16,7 +16,7 @@ from ..session import materialize
 SPACE = "▁"
 RAW_SPACE = "\ud800"  # stands for a U+2581 of the text itself; no UTF-8 text holds a lone surrogate
 UNIT = 1_000_000  # scores are whole numbers of this fraction, so that sums are exact in any order
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 20
 CACHE_LENGTH = 48
 NONE = -(1 << 60)  # no path
 
@@ -53,11 +53,16 @@ class PieceModel:
             self.ids[piece] = i
         self.byte_score = min(self.score.values()) - 4 * UNIT
         self.reach = max(map(len, self.score))
-        self.longest: dict[str, int] = {}  # longest piece by first character
+        self.starts: dict[str, int] = {}  # every beginning of a piece: its score if it is one, else NONE
         self.inside: set[str] = set()  # character pairs that some piece holds
-        for piece in self.score:
-            self.longest[piece[0]] = max(self.longest.get(piece[0], 1), len(piece))
+        for piece, points in self.score.items():
+            for i in range(1, len(piece)):
+                self.starts.setdefault(piece[:i], NONE)
+            self.starts[piece] = points
             self.inside.update(piece[i : i + 2] for i in range(len(piece) - 1))
+        self.id_score = np.full(size, self.byte_score, dtype=np.int64)
+        for piece, i in self.ids.items():
+            self.id_score[i] = self.score[piece]
         self.cut_at_space = not any(p[1] == SPACE and p[0] != SPACE for p in self.inside)
         self.cache: dict[str, bytes] = {}
 
@@ -74,7 +79,7 @@ class PieceModel:
         back = [0] * (len(text) + 1)
         for s, v in enumerate(start[: len(best)]):
             best[s] = v
-        score, longest, end = self.score.get, self.longest.get, len(text)
+        known, end = self.starts.get, len(text)
         for i in range(n):
             b = best[i]
             if b <= NONE // 2:
@@ -84,9 +89,11 @@ class PieceModel:
                 v = b + self.byte_score * len(self.fallback(c))
                 if v > best[i + 1]:
                     best[i + 1], back[i + 1] = v, 1
-            for j in range(i + 1, min(end, i + longest(c, 0)) + 1):
-                s = score(text[i:j])
-                if s is not None and b + s > best[j]:
+            for j in range(i + 1, end + 1):
+                s = known(text[i:j])
+                if s is None:
+                    break
+                if b + s > best[j]:
                     best[j], back[j] = b + s, j - i
         return best, back
 
@@ -146,28 +153,36 @@ class PieceModel:
         get, encode = self.cache.get, self.encode_word
         return np.frombuffer(b"".join([get(w) or encode(w) for w in self.words(text)]), dtype=np.int32)
 
+    def cuts(self, text: str, n: int) -> tuple[int, int] | None:
+        """The first cut that every entry of a chunk must pass, and the last one; None if there is none."""
+        safe = lambda i: i >= len(text) or text[i - 1 : i + 1] not in self.inside
+        first = next((i for i in range(self.reach, n + 1) if safe(i)), None)
+        return None if first is None else (first, next(i for i in range(n, first - 1, -1) if safe(i)))
+
     def transfer(self, text: str, n: int, last: bool) -> np.ndarray:
         """Max-plus transfer matrix of a chunk: best score from entering at s to leaving at ``n`` + e.
 
         ``text`` is the chunk of ``n`` characters and what follows it within the reach of a piece. If
-        the chunk holds a cut that every entry must pass, all rows are the first one's shifted: one
-        pass from the cut serves them all.
+        the chunk holds cuts, the matrix is the product of three: entries to the first cut, the words
+        between the first and the last, and the last cut to the exits.
         """
         reach = self.reach
         out = np.full((reach, reach), NONE, dtype=np.int64)
-        cut = next((i for i in range(reach, n) if text[i - 1 : i + 1] not in self.inside), None)
-        if cut is None:
+        found = self.cuts(text, n)
+        if found is None:
             for s in range(min(reach, n + 1)):
                 best, _ = self.forward(text, n, [NONE] * s + [0])
                 self._leave(out[s], best, n, last)
             return out
-        best, _ = self.forward(text[cut:], n - cut, [0])
+        a, b = found
+        middle = int(self.id_score[self.encode_whole(text[a:b])].sum())
+        best, _ = self.forward(text[b:], n - b, [0])
         tail = np.full(reach, NONE, dtype=np.int64)
-        self._leave(tail, best, n - cut, last)
+        self._leave(tail, best, n - b, last)
         for s in range(reach):
-            head, _ = self.forward(text[:cut], cut, [NONE] * s + [0])
-            if head[cut] > NONE // 2:
-                out[s] = np.where(tail > NONE // 2, head[cut] + tail, NONE)
+            head, _ = self.forward(text[:a], a, [NONE] * s + [0])
+            if head[a] > NONE // 2:
+                out[s] = np.where(tail > NONE // 2, head[a] + middle + tail, NONE)
         return out
 
     def _leave(self, row: np.ndarray, best: list[int], n: int, last: bool) -> None:
@@ -177,8 +192,15 @@ class PieceModel:
 
     def backtrace(self, text: str, n: int, entry: int, leave: int) -> np.ndarray:
         """Ids of the pieces that begin in the chunk, given where the whole text's best path enters and leaves it."""
-        _, back = self.forward(text, n, [NONE] * entry + [0])
-        return np.array(self.walk(text, back, n + leave)[0], dtype=np.int32)
+        found = self.cuts(text, n)
+        a, b = found or (n, n)
+        if found is None:
+            _, back = self.forward(text, n, [NONE] * entry + [0])
+            return np.array(self.walk(text, back, n + leave)[0], dtype=np.int32)
+        _, head = self.forward(text[:a], a, [NONE] * entry + [0])
+        _, tail = self.forward(text[b:], n - b, [0])
+        ends = [np.array(self.walk(t, back, at)[0], dtype=np.int32) for t, back, at in ((text[:a], head, a), (text[b:], tail, n - b + leave))]
+        return np.concatenate([ends[0], self.encode_whole(text[a:b]), ends[1]])
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -228,7 +250,7 @@ def encode_pieces(
 ) -> DataFrame:
     """``(id, ids, n_pieces, n_chars, round_trip)``, one row for each input row.
 
-    ``ids`` is a segmentation of the text with the greatest sum of piece scores; characters outside the
+    ``ids`` is a segmentation of the text with the greatest sum of piece scores (any one of equals); characters outside the
     vocabulary become byte pieces, so decoding gives the very text back (``round_trip`` says whether it
     did). A null text counts as empty: no ids. Repeated rows stay; an empty table gives an empty
     result; other columns are ignored.
