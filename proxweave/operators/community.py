@@ -44,7 +44,15 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, *, max_rounds: int = 2
     return cur
 
 
-def local_moving(edges: DataFrame, loops: DataFrame | None, nodes: DataFrame, resolution: float, max_rounds: int) -> DataFrame:
+def least_member(labels: DataFrame) -> DataFrame:
+    """``(id, label)`` with every label named by its least member."""
+    low = labels.groupBy("label").agg(F.min("id").alias("low"))
+    return labels.join(low, "label").select("id", F.col("low").alias("label"))
+
+
+def local_moving(
+    edges: DataFrame, loops: DataFrame | None, nodes: DataFrame, resolution: float, max_rounds: int, initial: DataFrame | None = None
+) -> DataFrame:
     """``(id, label)``: synchronous moves to the neighbouring community of the greatest modularity gain.
 
     Gain of a move: weight into it less ``resolution * degree * volume / 2m``, against staying. Each
@@ -57,7 +65,11 @@ def local_moving(edges: DataFrame, loops: DataFrame | None, nodes: DataFrame, re
         own = own.unionByName(loops.select("id", (2 * F.col("weight")).alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
     k = materialize(nodes.select("id").join(own, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")), "strengths")
     two_m = k.agg(F.sum("k")).first()[0] or 0.0
-    cur = materialize(k.select("id", "k", F.col("id").alias("label")), "labels")
+    start = k.select("id", "k", F.col("id").alias("label"))
+    if initial is not None:
+        warm = least_member(initial).withColumnRenamed("label", "warm")
+        start = start.join(warm, "id", "left").select("id", "k", F.coalesce("warm", "label").alias("label"))
+    cur = materialize(start, "labels")
     if two_m <= 0:
         return cur.select("id", "label")
     still = 0
@@ -97,7 +109,9 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return component_roots(lab, inside).select("id", F.col("root").alias("label"))
 
 
-def _local_louvain(pairs: list[tuple[int, int, float]], ids: list[int], resolution: float, refine: bool, max_levels: int) -> dict[int, int]:
+def _local_louvain(
+    pairs: list[tuple[int, int, float]], ids: list[int], resolution: float, refine: bool, max_levels: int, initial: dict[int, int] | None = None
+) -> dict[int, int]:
     """The same optimisation on the driver for graphs of a bounded size: sequential moves in id order."""
     member = {i: i for i in ids}
     edges = [(a, b, w) for a, b, w in pairs]
@@ -112,7 +126,11 @@ def _local_louvain(pairs: list[tuple[int, int, float]], ids: list[int], resoluti
         two_m = sum(k.values())
         if two_m <= 0:
             break
-        lab, vol = {i: i for i in nodes}, dict(k)
+        lab = {i: i for i in nodes} if initial is None else {i: initial.get(i, i) for i in nodes}
+        initial = None
+        vol: dict[int, float] = defaultdict(float)
+        for i in nodes:
+            vol[lab[i]] += k[i]
         moved = True
         for _ in range(100):
             moved = False
@@ -158,12 +176,21 @@ def _local_louvain(pairs: list[tuple[int, int, float]], ids: list[int], resoluti
 
 
 def louvain(
-    edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0, refine: bool = False, max_levels: int = 10, max_rounds: int = 24, local_edges: int = 100_000
+    edges: DataFrame,
+    nodes: DataFrame,
+    *,
+    resolution: float = 1.0,
+    refine: bool = False,
+    max_levels: int = 10,
+    max_rounds: int = 24,
+    initial: DataFrame | None = None,
+    local_edges: int = 100_000,
 ) -> DataFrame:
     """``(id, label)``: modularity communities, numbered from 0 by descending size, then least member.
 
     Levels of local moving and contraction until nothing merges. ``refine`` cuts every level's
-    communities into connected parts, so none is disconnected. Up to ``local_edges`` edges are solved
+    communities into connected parts, so none is disconnected. The first level starts from
+    ``initial(id, label)`` if it is given, else from single nodes. Up to ``local_edges`` edges are solved
     on the driver, more by DataFrame rounds; both are deterministic.
     """
     e = edges.select("src", "dst", "weight")
@@ -172,11 +199,12 @@ def louvain(
     if some.num_rows <= local_edges:
         pairs = list(zip(*(some.column(i).to_pylist() for i in range(3))))
         touched = sorted({x for a, b, _ in pairs for x in (a, b)})
-        member = _local_louvain(pairs, touched, resolution, refine, max_levels)
+        warm = None if initial is None else {r["id"]: r["label"] for r in least_member(initial).join(spark.createDataFrame([(i,) for i in touched], "id long"), "id", "left_semi").collect()}
+        member = _local_louvain(pairs, touched, resolution, refine, max_levels, warm)
         found = spark.createDataFrame([(int(i), int(c)) for i, c in member.items()], "id long, label long")
         raw = nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     else:
-        raw = _distributed_louvain(e, nodes, resolution, refine, max_levels, max_rounds)
+        raw = _distributed_louvain(e, nodes, resolution, refine, max_levels, max_rounds, initial)
     return by_size(raw)
 
 
@@ -185,11 +213,14 @@ def leiden(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     return louvain(edges, nodes, refine=True, **options)
 
 
-def _distributed_louvain(e: DataFrame, nodes: DataFrame, resolution: float, refine: bool, max_levels: int, max_rounds: int) -> DataFrame:
+def _distributed_louvain(
+    e: DataFrame, nodes: DataFrame, resolution: float, refine: bool, max_levels: int, max_rounds: int, initial: DataFrame | None = None
+) -> DataFrame:
     cur, ids, loops = e, nodes.select("id"), None
     whole = ids.select("id", F.col("id").alias("meta_id"))
     for _ in range(max_levels):
-        lab = local_moving(cur, loops, ids, resolution, max_rounds)
+        lab = local_moving(cur, loops, ids, resolution, max_rounds, initial)
+        initial = None
         if refine:
             lab = split_disconnected(cur, lab)
         lab = materialize(lab, "level-labels")

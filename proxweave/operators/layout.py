@@ -337,3 +337,59 @@ def connect_components(edges: DataFrame, nodes: DataFrame, vectors: DataFrame) -
     pairs = knn_exact(reps, n - 1).where("src < dst").select("src", "dst", F.col("distance").alias("weight"))
     return edges.select("src", "dst", "weight").unionByName(minimum_forest(pairs))
 
+
+
+def force_layout(
+    edges: DataFrame, nodes: DataFrame, start: DataFrame, *, epochs: int = 100, negatives: int = 5, min_dist: float = 0.1, seed: int = 42, local_nodes: int = 50_000
+) -> DataFrame:
+    """``(id, y)``: fuzzy memberships drawn by attraction along edges and sampled repulsion, from ``start(id, y)``.
+
+    It runs on the driver for up to ``local_nodes`` nodes; lay out landmarks and interpolate beyond.
+    """
+    rows = start.join(nodes.select("id"), "id", "left_semi").orderBy("id").limit(local_nodes + 1).collect()
+    if len(rows) > local_nodes:
+        raise ValueError(f"more than {local_nodes} nodes: lay out landmarks and interpolate")
+    at = {r["id"]: i for i, r in enumerate(rows)}
+    y = np.array([r["y"] for r in rows], dtype=float)
+    if not len(y):
+        return start.select("id", "y")
+    y = 10 * (y - y.mean(0)) / max(np.abs(y - y.mean(0)).max(), 1e-12)
+    e = edges.select("src", "dst", "weight").toPandas()
+    a, b = e["src"].map(at).to_numpy(), e["dst"].map(at).to_numpy()
+    p = (e["weight"] / max(e["weight"].max(), 1e-300)).to_numpy() if len(e) else np.zeros(0)
+    rng = np.random.default_rng(seed)
+    for t in range(epochs):
+        rate = 0.1 * (1.0 - t / epochs)
+        live = rng.random(len(p)) < p
+        i, j = a[live], b[live]
+        if not len(i):
+            continue
+        d = y[i] - y[j]
+        sq = (d * d).sum(1, keepdims=True)
+        pull = np.clip(-2 * d / (min_dist + sq) / (1 + sq), -4, 4) * rate
+        np.add.at(y, i, pull)
+        np.add.at(y, j, -pull)
+        i = np.repeat(i, negatives)
+        d = y[i] - y[rng.integers(0, len(y), len(i))]
+        sq = (d * d).sum(1, keepdims=True)
+        np.add.at(y, i, np.clip(2 * d / ((0.001 + sq) * (1 + sq)), -4, 4) * rate / negatives)
+    ids = [r["id"] for r in rows]
+    return nodes.sparkSession.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, y)], "id long, y array<double>")
+
+
+def layouts(
+    edges: DataFrame, nodes: DataFrame, *, k: int = 15, landmark_nodes: int = 5_000, n_landmarks: int = 1_000, interpolation: str = "laplacian_cg", epochs: int = 100, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """A layout in two and one in three dimensions.
+
+    Up to ``landmark_nodes`` nodes: a spectral start, drawn by forces on the fuzzy graph; the third
+    dimension starts from the flat layout with a little noise. Beyond: landmarks and interpolation.
+    """
+    if nodes.count() > landmark_nodes:
+        flat, deep = (landmark_layout(edges, nodes, n_landmarks, d, interpolation=interpolation, k=k) for d in (2, 3))
+        return flat, deep
+    fuzzy = materialize(fuzzy_union(edges, k), "fuzzy")
+    flat = materialize(force_layout(fuzzy, nodes, spectral_layout(fuzzy, nodes, 2), epochs=epochs, seed=seed), "layout")
+    noise = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2001)) - 1000) / 1e6
+    start = flat.select("id", F.concat("y", F.array(noise)).alias("y"))
+    return flat, force_layout(fuzzy, nodes, start, epochs=epochs, seed=seed)

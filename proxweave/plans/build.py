@@ -130,9 +130,13 @@ def communities(
     min_cluster_size: int | None = None,
     rank_col: str | None = None,
     run_name: str = "run",
+    warm_start: bool = True,
     output: str | None = None,
 ) -> list[CommunityRun]:
-    """Communities of ``edges(src, dst, distance)`` at each resolution, with statistics and interface edges."""
+    """Communities of ``edges(src, dst, distance)`` at each resolution, with statistics and interface edges.
+
+    With ``warm_start`` each resolution, in ascending order, starts from the communities of the one before.
+    """
     if algorithm not in ("louvain", "leiden", "labelprop"):
         raise ValueError(f"unknown algorithm {algorithm!r}")
     sim = with_similarity(edges.select("src", "dst", "distance"), similarity_scale)
@@ -144,9 +148,13 @@ def communities(
         c = coarsen(sim, nodes, levels=coarsen_levels, k=post_k)
         work = materialize(post_sparsify(c, post_k, similarity_scale) if post_k else c.edges, "coarse")
         back, ids = c.membership, c.membership.select(F.col("meta_id").alias("id")).distinct()
-    out = []
+    out, before = [], None
     for r in sorted(resolutions):
-        found = label_propagation(work, ids) if algorithm == "labelprop" else (leiden if algorithm == "leiden" else louvain)(work, ids, resolution=r)
+        if algorithm == "labelprop":
+            found = label_propagation(work, ids)
+        else:
+            found = (leiden if algorithm == "leiden" else louvain)(work, ids, resolution=r, initial=before if warm_start else None)
+        before = found = materialize(found, "found")
         if back is not None:
             found = project_back(found.withColumnRenamed("id", "meta_id"), back)
         labels = materialize(found, "labels")

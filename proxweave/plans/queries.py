@@ -15,7 +15,7 @@ from ..operators import paths as P
 from ..operators import refine as R
 from ..operators import sparsify as S
 from ..operators.community import label_propagation, leiden, louvain, modularity
-from ..operators.components import component_labels
+from ..operators.components import component_labels, number_rows
 from ..operators.graph import ProximityGraph, both_ways, degrees, induced, pairs_present
 from ..operators.knn import distance_stats, euclidean_hint, hybrid_distance, knn_exact, knn_ivf, mutual_edges, reweight, scale_factor, symmetric_edges
 from ..operators.mst import flag_forest, minimum_forest
@@ -780,6 +780,42 @@ def strongest_edges(spark, sf):
     return L.sampled_edges(graph(spark, sf), 100).select("src", "dst", r6("weight"))
 
 
+@query()
+def layout_3d(spark, sf):
+    return L.layouts(fixed_graph(spark, sf), ids(spark, sf), epochs=20)[1]
+
+
+@query(_runs_sql(2, 3) + """, c AS (SELECT (SELECT count(*) FROM i2 JOIN i3 USING (src, dst)) AS n, (SELECT count(*) FROM i2) AS a, (SELECT count(*) FROM i3) AS b)
+SELECT 'r2' AS run1, 'r2' AS run2, 1.0::DOUBLE AS value UNION ALL SELECT 'r3', 'r3', 1.0 UNION ALL SELECT 'r2', 'r3', round(n / CAST(a + b - n AS DOUBLE), 6) FROM c UNION ALL SELECT 'r3', 'r2', round(n / CAST(a + b - n AS DOUBLE), 6) FROM c""")
+def pairwise_jaccard(spark, sf):
+    m = C.pairwise_matrix({f"r{k}": _run(spark, sf, k)[1] for k in (2, 3)}, "jaccard")
+    return m.withColumn("value", F.round("value", 6))
+
+
+@query("SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer")
+def global_rank(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    return number_rows(c, [F.desc("c_acctbal"), F.col("id")]).select("id", "rank")
+
+
+@query(G + " SELECT src, dst, 1.0::DOUBLE AS weight FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM k)")
+def symmetrize_presence(spark, sf):
+    near = knn_exact(vectors(spark, sf), 10).select("src", "dst", F.col("distance").alias("weight"))
+    return S.symmetrize(near, "or")
+
+
+@query(G + " SELECT src, dst, round(CAST(weight AS DOUBLE), 6) AS weight FROM (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(d) AS weight FROM k GROUP BY 1, 2)")
+def symmetrize_sum(spark, sf):
+    near = knn_exact(vectors(spark, sf), 10).select("src", "dst", F.col("distance").alias("weight"))
+    return S.symmetrize(near, "sum").select("src", "dst", r6("weight"))
+
+
+@query()
+def communities_warm_started(spark, sf):
+    e = similar(spark, sf)
+    return leiden(e, ids(spark, sf), resolution=2.0, initial=leiden(e, ids(spark, sf)))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -177,3 +177,36 @@ def test_build_and_communities(spark, tmp_path):
     assert b.timings.summary(spark).count() == 4
     with pytest.raises(ValueError):
         communities(b.graph.edges, nodes, [1.0], algorithm="guess")
+
+
+def test_warm_start(spark, two_cliques):
+    e, v = two_cliques
+    warm = spark.createDataFrame([(i, i // 5) for i in range(10)], "id long, label int")
+    want = [list(range(5)), list(range(5, 10))]
+    assert partition(louvain(e, v, initial=warm)) == want
+    assert partition(_distributed_louvain(e, v, 1.0, False, 4, 24, warm)) == want
+
+
+def test_command_line(spark, tmp_path, capsys, two_cliques):
+    from proxweave.plans import cli
+
+    e, v = two_cliques
+    store.save_graph(ProximityGraph(v, e.withColumn("weight", 2 - F.col("weight"))), f"file://{tmp_path}/g")
+    cli.main([f"file://{tmp_path}/g", f"file://{tmp_path}/runs", "--resolutions", "1", "2", "--coarsen-levels", "1", "--min-cluster-size", "1"])
+    assert capsys.readouterr().out.count("interface edges") == 2
+    assert store.load_runs(spark, f"file://{tmp_path}/runs", "labels", resolution=2.0).count() == 10
+
+
+def test_layouts(spark, two_cliques):
+    from proxweave.operators import layout as L
+
+    e, v = two_cliques
+    flat, deep = L.layouts(e, v, k=4, epochs=30)
+    y = {r["id"]: np.array(r["y"]) for r in flat.collect()}
+    near = np.mean([np.linalg.norm(y[i] - y[j]) for i in range(5) for j in range(i)])
+    apart = np.mean([np.linalg.norm(y[i] - y[j]) for i in range(5) for j in range(5, 10)])
+    assert near < apart and len(deep.first()["y"]) == 3
+    far = L.layouts(e, v, k=4, landmark_nodes=3, n_landmarks=4, interpolation="harmonic")
+    assert far[0].count() == 10 and len(far[1].first()["y"]) == 3
+    with pytest.raises(ValueError):
+        L.force_layout(e, v, flat, local_nodes=2)
