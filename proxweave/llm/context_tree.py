@@ -15,7 +15,7 @@ from ..session import materialize
 EDGE = 0xFF  # stands before the first byte and after the last; never occurs in UTF-8
 END = b" "  # the end token: no word holds a space
 TOP = 2  # bytes of context that the collected top of the tree ends below
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def grams(text: bytes, depth: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def context_tree_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     depth: int = 4,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """One row for each input row: ``held_out``, token counts, ``base_score``, ``score``, ``bits_per_byte``.
 
