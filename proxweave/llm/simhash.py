@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -114,7 +115,7 @@ def correlated_groups(n: int, both: np.ndarray, bits: list[int], parts: int) ->
 
 def ball(width: int, radius: int) -> int:
     """Values within ``radius`` bits of a value of ``width`` bits."""
-    return 0 if radius < 0 else sum(len(list(combinations(range(width), r))) for r in range(radius + 1))
+    return sum(math.comb(width, r) for r in range(radius + 1))
 
 
 def allocate(cost: list[list[float]], total: int) -> list[int]:
@@ -140,7 +141,8 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-ROW_COST = 500  # of a probe row, in comparisons of two fingerprints
+DENSE = 1024
+ROW_COST = 100  # of a probe row, in comparisons of two fingerprints
 
 
 def far(chance: np.ndarray, reach: int) -> np.ndarray:
@@ -190,11 +192,15 @@ def local_stars(values: np.ndarray, tau: int, ids: np.ndarray | None = None, wid
 
     ``values`` holds a fingerprint a row; with ``wide``, all words together may differ in that many bits
     too. Members are named by ``ids``, or else by their first word. Breadth first; each member is
-    compared once with those not reached yet, so nothing of the size of all pairs is ever held.
+    compared once with those not reached yet, so no more than ``DENSE`` squared distances are ever held.
     """
     left = values.reshape(len(values), -1)
     names = left[:, 0] if ids is None else ids
     left = left.view(np.uint64)
+    if len(left) <= DENSE:  # most buckets hold no link at all
+        first = np.ascontiguousarray(left[:, 0])
+        linked = (np.bitwise_count(first[:, None] ^ first[None, :]) <= tau).sum(1) > 1
+        left, names = left[linked], names[linked]
     out = []
     while len(left) > 1:
         queue, seen = [left[0]], [names[0]]
