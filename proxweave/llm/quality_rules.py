@@ -51,17 +51,16 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     guard_words: int = 50,
-    max_word_distance: float = 0.6,
-    max_char_distance: float = 0.22,
+    max_distance: float = 0.5,
 ) -> DataFrame:
     """One row for each input row: counts, ``base_failed``, both distances, ``kept``.
 
     Words are runs of characters other than ASCII white space. A row fails the base rules with under
     ``min_words`` words, or if over ``max_repeat_percent`` of them are in 3-word windows that occur
-    twice or more. Of the others, a text is dropped if its character classes are farther than
-    ``max_char_distance``, or its common words farther than ``max_word_distance``, from the nearest
-    language reference (Jensen-Shannon distance). Texts of under ``guard_words`` words are too short
-    for a histogram and pass this part.
+    twice or more. Of the others, a text is dropped if the Jensen-Shannon distances of its character
+    classes, and of its common words to the nearest language reference, add up to more than
+    ``max_distance`` (either is 1 at most). Texts of under ``guard_words`` words are too short for a
+    histogram and pass this part.
 
     A null text counts as empty (0 words, base_failed). Repeated rows stay; an empty table gives an
     empty result; other columns are ignored. One scan, no shuffle, no Python: everything is per row.
@@ -143,9 +142,7 @@ def quality_rules(
         F.when(long_enough, F.least(*by_language)).alias("word_distance"),
         F.when(long_enough, _js_distance(chars, F.col("n_chars"), list(CHARACTERS.values()))).alias("char_distance"),
     )
-    near = (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance) & (
-        F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance
-    )
+    near = F.coalesce(F.col("word_distance") + F.col("char_distance") <= max_distance, F.lit(True))
     return scored.select(
         F.col("id").alias(id_col),
         "n_words",
