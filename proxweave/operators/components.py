@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_table, materialize
+from ..session import broadcast_if_small, drop_table, materialize
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -16,9 +16,13 @@ def _signature(edges: DataFrame) -> tuple[int, int]:
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """``(u, v, m)``: every pair with ``m``, the least node in the closed neighbourhood of ``u``."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """``(u, v, m)``: every pair with ``m``, the least node in the closed neighbourhood of ``u``.
+
+    The least nodes are a table of their own, so that the join is a broadcast while they are few, and
+    beyond that one whose hubs AQE can split.
+    """
+    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return pairs.join(broadcast_if_small(least), "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
 def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -39,12 +43,13 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         if sig[0] == 0:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
+        large = materialize(
             _star(both)
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v")
-            .distinct()
+            .distinct(),
+            "large-star",
         )
         small = (
             _star(large)

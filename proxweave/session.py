@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -30,17 +33,29 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/proxweave-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/proxweave-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, name)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete all intermediate tables this process has written; call it once results are stored elsewhere."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    return n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

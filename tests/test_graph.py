@@ -315,3 +315,17 @@ def test_interpolation(spark):
     assert L.sampled_points(v, 2).count() == 2 and L.sampled_points(v, 2, stride=True).count() == 2
     with pytest.raises(ValueError):
         L.landmark_layout(e, v, 2, interpolation="guess")
+
+
+def test_tables_are_released(spark, tmp_path):
+    from proxweave import session
+
+    before = session.materialize(spark.range(3), "kept")
+    assert before.count() == 3
+    session.drop_table(spark, before)
+    session.drop_table(spark, spark.range(1))
+    files = session.materialize(spark.range(2), "gone").inputFiles()
+    assert session.release_tables(spark) >= 1 and session.release_tables(spark) == 0
+    from pathlib import Path
+
+    assert not any(Path(f.removeprefix("file://")).exists() for f in files)
