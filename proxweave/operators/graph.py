@@ -134,6 +134,12 @@ class ProximityGraph:
     def degrees(self) -> DataFrame:
         return degrees(self.edges, self.nodes)
 
+    def shortest_path(self, source: int, target: int) -> DataFrame:
+        """One row: distance and path; infinite and null if the nodes are in different components."""
+        from .paths import shortest_paths
+
+        return shortest_paths(self.edges, self.nodes, source, [target]).select("distance", "path")
+
     def is_connected(self) -> bool:
         return self.components.select("component").distinct().count() <= 1
 

@@ -84,7 +84,7 @@ def distances(edges: DataFrame, sources: DataFrame, *, local_edges: int = LOCAL_
                     names=["source", "id", "dist", "prev"],
                 )
 
-    return sources.select("id").mapInArrow(run, "source long, id long, dist double, prev long")
+    return sources.select("id").repartition("id").mapInArrow(run, "source long, id long, dist double, prev long")
 
 
 def shortest_paths(edges: DataFrame, nodes: DataFrame, source: int, targets: list[int] | None = None, **options) -> DataFrame:

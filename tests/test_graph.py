@@ -198,6 +198,7 @@ def test_lookups(spark, tmp_path):
     with pytest.raises(ValueError):
         g.component(5)
     assert tuple(g.summary().first()) == (4, 2, 2)
+    assert tuple(g.shortest_path(0, 2).first()) == (3.0, [0, 1, 2]) and g.shortest_path(0, 3).first()["path"] is None
     assert not g.is_connected() and g.component_data(0).count() == 3
     assert g.subgraph(spark.createDataFrame([(0,), (1,)], "id long")).edges.count() == 1
     assert g.graph_distance(0, 2).first()["distance"] == 4.0
