@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
@@ -97,12 +97,7 @@ def neighbours(text: str, start: int, end: int) -> tuple[str, str]:
     return lw[-40:].lower(), rw[:40].lower()
 
 
-def outline(token: str) -> str:
-    """What a candidate looks like: a run of digits is 9, of letters a, other characters stay; 24 at most."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", token))[:24]
-
-
-MENTIONS = "id {kind}, th long, base string, start int, end int, token string, shape string, lw string, rw string, seed string"
+MENTIONS = "id {kind}, th long, base string, start int, end int, token string, lw string, rw string, seed string"
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,10 +113,10 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for key, th, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = cell.as_py() or ""
                 base = base_spans(text)
-                out.append((key, th, spell(base), None, None, None, None, None, None, None))
+                out.append((key, th, spell(base), None, None, None, None, None, None))
                 for s, k, e in base:
                     lw, rw = neighbours(text, s, e)
-                    out.append((key, th, None, s, e, hashlib.md5(text[s:e].encode()).hexdigest(), outline(text[s:e]), lw, rw, KINDS[k]))
+                    out.append((key, th, None, s, e, hashlib.md5(text[s:e].encode()).hexdigest(), lw, rw, KINDS[k]))
                 i = 0
                 for m in TOKEN.finditer(text) if DIGITS.search(text) or "@" in text else ():
                     s, e = m.span()
@@ -133,46 +128,55 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if e <= s or any(x[0] < e and x[2] > s for x in base[max(0, i - 3) : i + 4]):
                         continue
                     lw, rw = neighbours(text, s, e)
-                    out.append((key, th, None, s, e, hashlib.md5(text[s:e].encode()).hexdigest(), outline(text[s:e]), lw, rw, None))
+                    out.append((key, th, None, s, e, hashlib.md5(text[s:e].encode()).hexdigest(), lw, rw, None))
             if not out:
                 continue
             schema = pa.schema([b.schema.field(0), *fields])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     text = {"th": pa.int64(), "base": pa.string(), "start": pa.int32(), "end": pa.int32()}
-    fields = [pa.field(n, text.get(n, pa.string())) for n in ("th", "base", "start", "end", "token", "shape", "lw", "rw", "seed")]
+    fields = [pa.field(n, text.get(n, pa.string())) for n in ("th", "base", "start", "end", "token", "lw", "rw", "seed")]
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     return src.mapInArrow(run, MENTIONS.format(kind=src.schema["id"].dataType.simpleString()))
 
 
+def patterns_of(lw: str, rw: str) -> Column:
+    """An array of the lexical patterns of a context: the words on both sides, on the left, on the right.
+
+    A missing word makes no pattern by itself; ``*`` stands for any.
+    """
+    left, right = F.col(lw), F.col(rw)
+    both = F.when((left != "") & (right != ""), F.concat(left, F.lit(" * "), right))
+    return F.array_compact(F.array(both, F.when(left != "", F.concat(left, F.lit(" *"))), F.when(right != "", F.concat(F.lit("* "), right))))
+
+
 def bootstrap(seen: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
-    """``(kind, lw, rw, shape, confidence)``: patterns learned from seeds over ``rounds`` of the pattern-instance graph.
+    """``(kind, pattern, confidence)``: patterns learned from seeds over ``rounds`` of the pattern-instance graph.
 
-    ``seen`` is a table of (token, shape, lw, rw, seed, n). A pattern is the words on both sides of a
-    span and its outline, for one kind. Each round scores a pattern by the share of its distinct
-    instances that are believed to be of the kind, needs ``min_support`` such instances, and then
-    believes in an instance as much as in its best pattern. Seeds are believed in for good.
+    ``seen`` is a table of (token, lw, rw, seed). Each round scores a pattern, for one kind, by the
+    share of its distinct instances that are believed to be of the kind, needs ``min_support`` such
+    instances, and then believes in an instance as much as in its best pattern. Seeds are believed in
+    for good.
     """
     believed = seen.where("seed is not null").groupBy("token", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("belief"))
-    edges = seen.select("token", "shape", "lw", "rw").distinct()
-    patterns = None
+    edges = materialize(seen.select("token", F.explode(patterns_of("lw", "rw")).alias("pattern")).distinct(), "pattern-edges")
+    size = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")), "pattern-sizes")
     for i in range(rounds):
-        size = edges.groupBy("shape", "lw", "rw").agg(F.count(F.lit(1)).alias("instances"))
         score = (
             edges.join(believed, "token")
-            .groupBy("kind", "shape", "lw", "rw")
+            .groupBy("kind", "pattern")
             .agg(F.sum("belief").alias("mass"), F.count(F.when(F.col("belief") >= min_confidence, 1)).alias("support"))
             .where(F.col("support") >= min_support)
-            .join(size, ["shape", "lw", "rw"])
+            .join(size, "pattern")
             .withColumn("confidence", F.col("mass") / F.col("instances"))
             .where(F.col("confidence") >= min_confidence)
         )
-        patterns = materialize(score.select("kind", "shape", "lw", "rw", "confidence"), "patterns")
+        patterns = materialize(score.select("kind", "pattern", "confidence"), "patterns")
         if i + 1 == rounds or not patterns.take(1):
-            break
-        gained = edges.join(broadcast_if_small(patterns), ["shape", "lw", "rw"]).select("token", "kind", F.col("confidence").alias("belief"))
+            return patterns
+        gained = edges.join(broadcast_if_small(patterns), "pattern").select("token", "kind", F.col("confidence").alias("belief"))
         believed = believed.unionByName(gained).groupBy("token", "kind").agg(F.max("belief").alias("belief"))
-    return patterns
+    raise ValueError("rounds must be positive")
 
 
 def find_pii(
@@ -196,13 +200,15 @@ def find_pii(
     """
     found = materialize(mentions(docs, id_col, text_col), "mentions")
     spans = found.where("start is not null")
-    seen = spans.select("token", "shape", "lw", "rw", "seed")
-    patterns = bootstrap(seen, rounds, min_support, min_confidence)
-    best = patterns.groupBy("shape", "lw", "rw").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    added = (
+    patterns = bootstrap(spans.select("token", "lw", "rw", "seed"), rounds, min_support, min_confidence)
+    matched = (
         spans.where("seed is null")
-        .join(broadcast_if_small(best), ["shape", "lw", "rw"])
-        .select("id", "th", F.lit(None).cast("string").alias("base"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("more"))
+        .select("id", "th", "start", "end", F.explode(patterns_of("lw", "rw")).alias("pattern"))
+        .join(broadcast_if_small(patterns), "pattern")
+    )
+    best = matched.groupBy("id", "th", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    added = best.select(
+        "id", "th", F.lit(None).cast("string").alias("base"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("more")
     )
     rows = found.where("start is null").select("id", "th", "base", F.lit(None).cast("string").alias("more"))
     merged = (

@@ -257,24 +257,26 @@ def test_long_runs_are_linear():
 
 
 def test_bootstrap_finds_unseen(spark):
-    rows = [(i, f"some prose then account ref {10000 + i}.{i}.1.2 end of line number {i}") for i in range(12)]
-    seeds = [(100 + i, f"text login name user{i}@site{i}.example.com please reply") for i in range(12)]
-    unseen = [(200 + i, f"text login name user{i}@localhost please reply") for i in range(1)]
-    docs = spark.createDataFrame(rows + seeds + unseen, "doc_id long, text string")
-    p = {r["doc_id"]: r for r in pii.find_pii(docs, min_confidence=0.5).collect()}
-    assert p[100]["spans"] == "email:16:" + str(16 + len("user0@site0.example.com"))
-    assert all(p[i]["n_added"] == 0 for i in range(12))
-    same = spark.createDataFrame([(i, f"call agent {i}@a.b.example.org now") for i in range(20)] + [(50, "call agent 77@x.y.example now"), (51, "call agent 9@a.b.example_ now")], "doc_id long, text string")
-    q = {r["doc_id"]: r for r in pii.find_pii(same).collect()}
-    assert q[50]["n_added"] == 0
+    seeds = [(i, f"text {i} login name user{i}@site{i}.example.com please reply") for i in range(12)]
+    unseen = "text login name bob7@intranet please reply"
+    plain = [(200 + i, f"chapter {i} of the book, page {i * 7} and note {i}") for i in range(30)]
+    docs = spark.createDataFrame([*seeds, (100, unseen), (101, None), *plain], "doc_id long, text string")
+    p = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    at = unseen.index("bob7")
+    assert p[100]["spans"] == f"email:{at}:{at + len('bob7@intranet')}" and p[100]["n_added"] == 1 and p[100]["base"] == ""
+    assert all(p[i]["n_added"] == 0 for i in range(12)) and all(p[i]["spans"] == p[i]["base"] for i in range(12))
+    assert all(p[i]["spans"] == "" for i in range(200, 230))
 
 
 def test_patterns_spread_over_rounds(spark):
-    seen = [(f"s{i}", "9", "ref", "now", "ip") for i in range(6)] + [("u1", "9", "ref", "now", None)]
-    df = spark.createDataFrame(seen, "token string, shape string, lw string, rw string, seed string")
-    got = pii.bootstrap(df, 3, 5, 0.8).collect()
-    assert len(got) == 1 and got[0]["kind"] == "ip" and got[0]["confidence"] >= 6 / 7
-    assert pii.bootstrap(df, 3, 7, 0.8).count() in (0, 1)
+    rows = [(f"s{i}", "ref", "now", "ip") for i in range(9)] + [("u1", "ref", "now", None)]
+    rows += [("u1", "host", "up", None)] + [(f"s{i}", "host", "up", "ip") for i in range(4)]
+    df = spark.createDataFrame(rows, "token string, lw string, rw string, seed string")
+    one = {r["pattern"] for r in pii.bootstrap(df, 1, 5, 0.8).collect()}
+    assert one == {"ref * now", "ref *", "* now"}
+    two = {r["pattern"]: r["confidence"] for r in pii.bootstrap(df, 2, 5, 0.8).collect()}
+    assert {"host * up", "host *", "* up"} <= set(two) and two["host *"] == pytest.approx((4 + 0.9) / 5)
+    assert pii.bootstrap(df, 3, 50, 0.8).count() == 0
 
 
 def test_pii_odd(spark, odd, empty):
