@@ -18,6 +18,12 @@ COMMON_WORDS = {
 }
 CHARACTERS = {"letter": 795, "upper": 20, "space": 160, "digit": 5, "mark": 19, "symbol": 1}
 
+SYMBOLS = r"[#*$%&|<>]"
+OTHER_SYMBOLS = r"[^\x00-\x7F\p{L}\p{N}\s]|[\x00-\x08\x0E-\x1F@^_`~{}=+/\\\[\]\x7F]"
+MARKS = r"""[.,;:!?'"()\-]"""
+
+UPPER_CASE, DIGIT = r"\p{Lu}", r"\p{Nd}"
+
 LONG = "array<long>"
 
 
@@ -111,11 +117,11 @@ def quality_rules(
         _total(covered).alias("n_repeat_words"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.length("t").cast("long").alias("n_chars"),
-        count(r"[#*$%&|<>]").alias("n_symbols"),
-        count(r"[^\x00-\x7F\p{L}\p{N}\s]|[\x00-\x08\x0E-\x1F@^_`~{}=+/\\\[\]\x7F]").alias("n_other"),
-        count(r"\p{Lu}").alias("n_upper"),
-        count(r"\p{Nd}").alias("n_digit"),
-        count(r"""[.,;:!?'"()\-]""").alias("n_mark"),
+        count(SYMBOLS).alias("n_symbols"),
+        count(OTHER_SYMBOLS).alias("n_other"),
+        count(UPPER_CASE).alias("n_upper"),
+        count(DIGIT).alias("n_digit"),
+        count(MARKS).alias("n_mark"),
         F.lower("common").alias("cw"),
     ).drop("p", "t", "common")
     padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))

@@ -14,7 +14,7 @@ from .context_tree import context_tree_scores
 from .decontaminate import decontaminate
 from .html_text import html_text
 from .pu_quality import pu_quality
-from .quality_rules import quality_rules
+from .quality_rules import CHARACTERS, COMMON_WORDS, DIGIT, MARKS, OTHER_SYMBOLS, SYMBOLS, UPPER_CASE, quality_rules
 from .sentence_pieces import encode_pieces
 from .sharding import ring_shards
 from .simhash import simhash_components
@@ -72,7 +72,8 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("word_distance", "char_distance")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -120,5 +121,56 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+_REFERENCE = ", ".join(f"('{k}', '{w}', {n / 1000})" for k, words in COMMON_WORDS.items() for w, n in words.items())
+_REST = ", ".join(f"('{k}', {(1000 - sum(words.values())) / 1000})" for k, words in COMMON_WORDS.items())
+_SHARES = {k: n / sum(CHARACTERS.values()) for k, n in CHARACTERS.items()}
+
+
+def _part(p: str, q: str) -> str:
+    """One class of twice the Jensen-Shannon divergence of shares p and q."""
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + {q} * log2({q} / (({p} + {q}) / 2)))"
+
+
+def _matches(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"len(regexp_extract_all(t, '{quoted}'))"
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+rep AS (
+  SELECT rid, count(DISTINCT pos) AS n FROM (
+    SELECT rid, unnest(range(i, i + 3)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS c FROM win) WHERE c > 1
+  ) GROUP BY rid
+),
+ref AS (SELECT * FROM (VALUES {_REFERENCE}) r(lang, word, q)), rest AS (SELECT * FROM (VALUES {_REST}) r(lang, q)),
+cnt AS (SELECT rid, lower(x) AS word, count(*) AS n FROM (SELECT rid, unnest(w) AS x FROM w) GROUP BY 1, 2),
+has AS (SELECT w.rid, ref.lang, ref.q, coalesce(cnt.n, 0) / CAST(len(w.w) AS DOUBLE) AS p FROM w CROSS JOIN ref LEFT JOIN cnt ON cnt.rid = w.rid AND cnt.word = ref.word WHERE len(w.w) >= 50),
+jsl AS (SELECT has.rid, has.lang, sum({_part('p', 'has.q')}) AS s, 1 - sum(p) AS p, any_value(rest.q) AS q FROM has JOIN rest ON rest.lang = has.lang GROUP BY 1, 2),
+js AS (SELECT rid, min(sqrt(greatest((s + {_part('p', 'q')}) / 2, 0))) AS word_distance FROM jsl GROUP BY rid),
+c AS (
+  SELECT w.rid, doc_id, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars, length(t) AS n_chars,
+    {_matches(SYMBOLS)} AS n_symbols, {_matches(OTHER_SYMBOLS)} AS n_other, {_matches(UPPER_CASE)} AS up, {_matches(DIGIT)} AS dg, {_matches(MARKS)} AS mk,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (rid)
+),
+sh AS (
+  SELECT *, greatest(word_chars - up - dg - mk - n_symbols - n_other, 0) / CAST(n_chars AS DOUBLE) AS s1, up / CAST(n_chars AS DOUBLE) AS s2, (n_chars - word_chars) / CAST(n_chars AS DOUBLE) AS s3,
+    dg / CAST(n_chars AS DOUBLE) AS s4, mk / CAST(n_chars AS DOUBLE) AS s5, (n_symbols + n_other) / CAST(n_chars AS DOUBLE) AS s6
+  FROM c
+),
+v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words >= 50 THEN sqrt(greatest(({' + '.join(_part(f's{i + 1}', str(q)) for i, q in enumerate(_SHARES.values()))}) / 2, 0)) END AS char_distance
+  FROM sh LEFT JOIN js USING (rid)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, round(word_distance, 6) AS word_distance, round(char_distance, 6) AS char_distance, NOT base_failed AND coalesce(word_distance + char_distance <= 0.5, true) AS kept
+FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_prefix_decontamination": OP5_SQL}
+    return {"op5_prefix_decontamination": OP5_SQL, "op10_divergence_rules": OP10_SQL}
