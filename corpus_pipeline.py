@@ -15,14 +15,11 @@ from proxweave.llm.decontaminate import decontaminate
 from proxweave.llm.pii import redact
 from proxweave.llm.pu_quality import pu_quality
 from proxweave.llm.sentence_pieces import encode_pieces
-from proxweave.llm.simhash import simhash_components
+from proxweave.llm.shingle_join import shingle_components
 from proxweave.session import materialize, table
 
-# Two texts of equal length that share 0.8 of their distinct shingles have a cosine of 8/9, and so are
-# expected to differ in acos(8/9) / pi of all bits: 38.8 of 256, 9.7 of the first 64. The standard
-# deviation of the former is 5.7; one is added, so that five in six of those at the limit are found.
-WIDE_BITS = 44
-CANDIDATE_BITS = 11
+# Near-duplicates share this percentage of their distinct five-word shingles, or more (Jaccard).
+SIMILAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id."""
-    found = simhash_components(docs, shingle=5, tau=CANDIDATE_BITS, words=4, wide=WIDE_BITS)
+    found = shingle_components(docs, shingle=5, percent=SIMILAR_PERCENT)
     return docs.join(found.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti")
 
 

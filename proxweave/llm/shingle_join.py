@@ -1,0 +1,160 @@
+"""Near-duplicates by the exact similarity of shingle sets, joined by the prefix principle."""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.components import star_components
+from ..session import materialize
+
+
+def shingle_set(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; words and short texts as in :func:`simhash.fingerprint`."""
+    tokens = (text or b"").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.int64)
+    grams = [b" ".join(tokens)] if len(tokens) < shingle else map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))
+    n = max(1, len(tokens) - shingle + 1)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype="<u8", count=n).view(np.int64))
+
+
+def spare(n):
+    """Shingles that prefixes of a set of ``n`` are longer by, to tell near copies from texts with a common line."""
+    return n // 20 + 1
+
+
+def shingle_rows(docs: DataFrame, shingle: int, percent: int | None = None) -> DataFrame:
+    """``(id, name, n, hs)``: distinct shingles of each ``(id, t)``; ``name`` is a hash of all, so that equal sets share it.
+
+    With ``percent``, ``hs`` has only the least ``n - ceil(percent * n / 100) + spare(n)`` hashes.
+    """
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            name = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            size = np.array([len(s) for s in sets], dtype=np.int32)
+            if percent is not None:
+                sets = [s[: len(s) - (percent * len(s) + 99) // 100 + spare(len(s))] for s in sets]
+            ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+            hs = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), pa.array(size), hs], names=["id", "name", "n", "hs"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, name long, n int, hs array<long>")
+
+
+def held_by_more(rows: DataFrame) -> DataFrame:
+    """``(h, c, name, n)`` of the shingles that more than one set holds; ``c`` is how many do."""
+    one = rows.repartition("h").groupBy("h", "name").agg(F.first("n").alias("n"))
+    held = one.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.collect_list(F.struct("name", "n")).alias("m")).where("c > 1")
+    return held.select("h", "c", F.explode("m").alias("m")).select("h", "c", "m.name", "m.n")
+
+
+def with_company(prints: DataFrame, percent: int) -> DataFrame:
+    """``(name)`` of all sets that can have a link.
+
+    In any one order, here that of hashes, two sets that share ``o`` shingles share ``k`` of them among
+    the first ``n - o + k`` of both. The smaller of two that link has ``percent`` of the other's size
+    at least, and so ``spare`` of that many are shared with others.
+    """
+    rows = prints.select("name", "n", F.explode("hs").alias("h"))
+    least = F.expr(f"({percent} * n + 99) div 100 div 20 + 1")
+    return held_by_more(rows).groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= least).select("name")
+
+
+def local_links(names: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges from the least member to the others of each component linked at ``percent`` or more.
+
+    ``sets`` hold what can be shared, sorted or not; ``n`` are the sizes of the whole sets. Breadth
+    first; each member is compared once with those not reached yet.
+    """
+    flat = np.concatenate(sets)
+    at, code = np.unique(flat, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.append(0, np.cumsum(size)[:-1])
+    mark = np.zeros(len(at), dtype=np.int64)
+    left, out = np.arange(len(names)), []
+    while len(left) > 1:
+        queue, seen = [left[0]], [left[0]]
+        left = left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            own = code[start[i] : start[i] + size[i]]
+            mark[own] = 1
+            # one gather over all that are left
+            total = size[left]
+            pos = np.repeat(start[left] - np.append(0, np.cumsum(total)[:-1]), total) + np.arange(total.sum())
+            both = np.add.reduceat(mark[code[pos]], np.append(0, np.cumsum(total)[:-1]))
+            mark[own] = 0
+            near = 100 * both >= percent * (n[left] + n[i] - both)
+            if near.any():
+                queue.extend(left[near])
+                seen.extend(left[near])
+                left = left[~near]
+        low = min(names[j] for j in seen)
+        out.extend((int(low), int(names[j])) for j in seen if names[j] != low)
+    return out
+
+
+def shingle_links(sets: DataFrame, percent: int, bucket_rows: int = 512) -> DataFrame:
+    """``(src, dst)`` edges that connect exactly what links connect: two sets whose Jaccard similarity is ``percent`` or more.
+
+    ``sets`` has rows ``(name, n, h)``, one for each shingle of each set and repeats allowed. All sets
+    order their shingles by how many sets hold them, then by hash. Two that link share a shingle
+    among the first ``n - ceil(percent * n / 100) + 1`` of both, so these meet there. Shingles of one set
+    only can't be shared: they count in ``n`` and take the first places, and are not carried further.
+    Buckets of equal members are verified once, a large one as pairs of blocks; nothing is dropped.
+    """
+    shared = held_by_more(sets)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("c", "h"))), lambda x: x["h"])
+    whole = shared.groupBy("name").agg(F.first("n").alias("n"), order.alias("hs"))
+    places = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - size(hs))").cast("int")
+    kept = materialize(whole.withColumn("q", places).where("q > 0"), "shared-shingles")
+
+    probes = kept.select("name", F.explode(F.slice("hs", F.lit(1), F.least("q", F.size("hs")))).alias("h"))
+    buckets = probes.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(name))").alias("s"), F.min("name").alias("low")).where("c > 1")
+    once = materialize(buckets.groupBy("c", "s", "low").agg(F.min("h").alias("h")), "buckets")
+    blocks = F.ceil(F.col("c") / bucket_rows).cast("int")
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("name"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
+    members = probes.join(once.select("h", blocks.alias("blocks")), "h").select("name", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = members.select("name", "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    full = placed.join(kept.select("name", F.struct("name", "n", "hs").alias("m")), "name")
+
+    def verify(batches):
+        for b in batches:
+            edges = []
+            for bucket in b.column(0):
+                m = bucket.values
+                if len(m) > 1:
+                    edges += local_links(m.field("name").to_numpy(), m.field("n").to_numpy().astype(np.int64), [x.values.to_numpy() for x in m.field("hs")], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+    found = full.groupBy("h", "x", "y").agg(F.collect_list("m").alias("ms")).select("ms").mapInArrow(verify, "src long, dst long")
+    return found.distinct()
+
+
+def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bucket_rows: int = 512) -> DataFrame:
+    """``(id, component_id)`` for each row: the least id that links of ``percent`` similarity or more reach from it.
+
+    Rows with equal shingle sets are one; those without words have the empty set. A null id never is a
+    component's id unless all its ids are null.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    rows = materialize(shingle_rows(src, shingle, percent), "shingle-prefixes")
+    prints = rows.select("id", "name")
+    each = prints.groupBy("name").agg(F.min("id").alias("low"))
+    named = materialize(each.join(with_company(rows, percent), "name"), "candidates")
+    low = named.select(F.col("low").alias("__id")).distinct()
+    texts = src.join(low, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = shingle_rows(texts, shingle).join(named.select("name"), "name", "left_semi")
+    roots = materialize(star_components(shingle_links(sets.select("name", "n", F.explode("hs").alias("h")), percent, bucket_rows)), "roots")
+    linked = each.join(roots.withColumnRenamed("id", "name"), "name")
+    named = linked.join(linked.groupBy("component").agg(F.min("low").alias("least")), "component").select("name", "least")
+    labels = materialize(each.join(named, "name", "left").select("name", F.coalesce("least", "low").alias("component_id")), "labels")
+    return prints.join(labels, "name").select(F.col("id").alias(id_col), "component_id")

@@ -1,0 +1,71 @@
+"""Near-duplicates of the pipeline against exact Jaccard similarity."""
+
+import random
+
+import pytest
+
+from proxweave.llm import shingle_join
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(texts, percent=80):
+    sets, low = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * len(sets[i] | sets[j]) and low[i] != low[j]:
+                a, b = max(low[i], low[j]), min(low[i], low[j])
+                low = [b if x == a else x for x in low]
+    return low
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(4000)]
+    out = []
+    for n in [5, 6, 9, 30, 60, 120] * 12:  # from well above 0.8 to well below
+        words = [rng.choice(vocab) for _ in range(n)]
+        cut = list(words)
+        for at in rng.sample(range(n), max(1, n // rng.choice([20, 35, 50, 80]))):
+            cut[at] = rng.choice(vocab)
+        out += [" ".join(words), " ".join(cut), " ".join(words[: rng.randint(n * 3 // 4, n)])]
+    base = [rng.choice(vocab) for _ in range(80)]
+    for i in range(60):  # a group of near copies, which bucket_rows=8 cuts into blocks
+        copy = list(base)
+        copy[rng.randrange(80)] = f"z{i}"
+        out.append(" ".join(copy))
+    line = " ".join(vocab[:12])
+    out += [f"{line} {' '.join(rng.choice(vocab) for _ in range(9))}" for _ in range(40)]
+    return [*out, "", None, "one", "ONE", "two words", " \n"]
+
+
+@pytest.mark.parametrize("bucket_rows", [8, 512])
+def test_components_equal_exact_similarity(spark, texts, bucket_rows):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.shingle_components(docs, bucket_rows=bucket_rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_near_dedup_finds_all_at_the_limit(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(22)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for _ in range(60):  # 10 of 90 shingles a side are others: 80 / 100 are shared
+        core = [word() for _ in range(84)]
+        rows += [" ".join(core + [word() for _ in range(10)]), " ".join(core + [word() for _ in range(10)])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()} == set(range(0, 120, 2))
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (7, None), (8, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in shingle_join.shingle_components(docs).collect()}
+    assert got == {(None, 4), (4, 4), (7, 7), (8, 7)}
+    assert shingle_join.shingle_components(docs.limit(0)).count() == 0
