@@ -673,12 +673,12 @@ def closeness_centrality(spark, sf):
 
 @query()
 def betweenness_centrality(spark, sf):
-    return P.betweenness(fixed_graph(spark, sf), ids(spark, sf), sample=100)
+    return P.betweenness(fixed_graph(spark, sf), ids(spark, sf))
 
 
 @query()
 def edge_betweenness_centrality(spark, sf):
-    return P.edge_betweenness(fixed_graph(spark, sf), ids(spark, sf), sample=100)
+    return P.edge_betweenness(fixed_graph(spark, sf), ids(spark, sf))
 
 
 @query(SHORT_G + reach_sql("").replace("JOIN b ON b.src", "JOIN qw b ON b.src").replace(", far(", ", qw AS (SELECT src, dst, weight FROM q UNION ALL SELECT dst, src, weight FROM q), far(") + " SELECT component, count(DISTINCT s) AS size, round(max(d), 6) AS diameter FROM far JOIN comp ON comp.id = far.s GROUP BY component")
