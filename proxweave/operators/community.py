@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, *, max_rounds: int = 2
         still = still + 1 if not changed else 0
         if still == 2:  # both halves had their turn
             break
+    else:
+        warnings.warn(f"label propagation did not settle in {max_rounds} rounds", RuntimeWarning, stacklevel=2)
     return cur
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -166,6 +167,8 @@ def harmonic_interpolate(p: DataFrame, known: DataFrame, nodes: DataFrame, *, ma
         y = step.select("id", "y")
         if math.sqrt(c["d"] or 0.0) <= tol * max(math.sqrt(c["n"] or 0.0), 1e-12):
             break
+    else:
+        warnings.warn(f"harmonic interpolation did not converge in {max_iter} rounds", RuntimeWarning, stacklevel=2)
     return y
 
 

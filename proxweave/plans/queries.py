@@ -445,7 +445,7 @@ def leiden_communities(spark, sf):
 
 @query()
 def label_propagation_communities(spark, sf):
-    return label_propagation(similar(spark, sf), ids(spark, sf), max_rounds=6)
+    return label_propagation(similar(spark, sf), ids(spark, sf))
 
 
 @query(SIM + """, el AS (SELECT s.weight, a.label AS la, c.label AS lc FROM s JOIN v a ON a.id = s.src JOIN v c ON c.id = s.dst), m AS (SELECT sum(weight) AS m, sum(CASE WHEN la = lc THEN weight ELSE 0 END) AS i FROM el),
@@ -739,7 +739,7 @@ def barycentric_interpolation(spark, sf):
 
 @query()
 def harmonic_interpolation(spark, sf):
-    return L.harmonic_interpolate(S.row_stochastic(fixed_graph(spark, sf)), _known(spark, sf), ids(spark, sf), max_iter=5)
+    return L.harmonic_interpolate(S.row_stochastic(fixed_graph(spark, sf)), _known(spark, sf), ids(spark, sf))
 
 
 @query()
@@ -782,7 +782,7 @@ def strongest_edges(spark, sf):
 
 @query()
 def layout_3d(spark, sf):
-    return L.layouts(fixed_graph(spark, sf), ids(spark, sf), epochs=20)[1]
+    return L.layouts(fixed_graph(spark, sf), ids(spark, sf))[1]
 
 
 @query(_runs_sql(2, 3) + """, c AS (SELECT (SELECT count(*) FROM i2 JOIN i3 USING (src, dst)) AS n, (SELECT count(*) FROM i2) AS a, (SELECT count(*) FROM i3) AS b)
