@@ -140,11 +140,11 @@ def knn_ivf(vectors: DataFrame, k: int, *, cells: int | None = None, probes: int
     return _top(_block_top(asked.join(data, "cell").select("ids", "m", "ids2", "m2"), k, "euclidean").distinct(), k)
 
 
-def knn(vectors: DataFrame, k: int, *, method: str = "auto", exact_rows: int = 200_000, **options) -> DataFrame:
-    """Exact up to ``exact_rows`` rows, approximate beyond; or as ``method`` says."""
+def knn(vectors: DataFrame, k: int, *, method: str = "auto", exact_rows: int | None = None, **options) -> DataFrame:
+    """Exact at every size, or as ``method`` says; only with ``exact_rows``, approximate beyond so many rows."""
     if method not in ("auto", "exact", "ivf"):
         raise ValueError(f"unknown method {method!r}")
-    if method == "exact" or (method == "auto" and vectors.count() <= exact_rows):
+    if method == "exact" or (method == "auto" and (exact_rows is None or vectors.count() <= exact_rows)):
         return knn_exact(vectors, k, **options)
     return knn_ivf(vectors, k, **options)
 
