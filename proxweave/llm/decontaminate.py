@@ -87,7 +87,7 @@ def contaminated_spans(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``(id, n_words, n_hit, n_items, item_ids, contaminated)``, one row for each input row.
+    """``(id, th, n_words, n_hit, n_items, item_ids, contaminated)``, one row for each input row; ``th`` is a hash of the text.
 
     A document word is hit if it lies in any occurrence of a benchmark window (``window`` words; a
     shorter item, not an empty one, is one window). Rows without words have zeros; null items or
@@ -115,6 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
     out = merged.select(
         F.col("id").alias(id_col),
+        "th",
         "n_words",
         F.aggregate("s", zero, step)["hit"].alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
