@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +15,13 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 SPACE = "▁"
-RAW_SPACE = "\ud800"  # stands for a U+2581 of the text itself; no UTF-8 text holds a lone surrogate
-UNIT = 1_000_000  # scores are whole numbers of this fraction, so that sums are exact in any order
 CACHE_WORDS = 1 << 20
 CACHE_LENGTH = 48
 NONE = -(1 << 60)  # no path
 
 
 class PieceModel:
-    """Pieces and scores of a SentencePiece file, with byte fallback.
-
-    Scores of a unigram file are taken as they are. Those of a BPE file are merge ranks, not log
-    probabilities, so there a piece's score is that of its rank under Zipf's law.
-    """
+    """Pieces and scores of a SentencePiece BPE file with byte fallback, identity normaliser and a space in front."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -35,80 +30,142 @@ class PieceModel:
         size = sp.get_piece_size()
         self.byte_ids = np.zeros(256, dtype=np.int32)
         self.raw: list[bytes] = [b""] * size
-        own: list[tuple[float, int, str]] = []
+        self.score: dict[str, float] = {}
+        self.ids: dict[str, int] = {}
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.raw[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                own.append((sp.get_score(i), i, piece))
+                self.score[piece], self.ids[piece] = sp.get_score(i), i
                 self.raw[i] = piece.replace(SPACE, " ").encode()
-        ranks = all(s == int(s) for s, _, _ in own)
-        own.sort(key=lambda x: (-x[0], x[1]))
-        self.score: dict[str, int] = {}
-        self.ids: dict[str, int] = {}
-        for r, (s, i, piece) in enumerate(own):
-            self.score[piece] = round(UNIT * (-math.log(r + 2) if ranks else s))
-            self.ids[piece] = i
-        self.byte_score = min(self.score.values()) - 4 * UNIT
+        if any(s != int(s) for s in self.score.values()):
+            raise ValueError("only BPE files, whose scores are ranks, are supported")
+        self.packed = {piece: np.int32(i).tobytes() for piece, i in self.ids.items()}
         self.reach = max(map(len, self.score))
-        self.starts: dict[str, int] = {}  # every beginning of a piece: its score if it is one, else NONE
-        self.inside: set[str] = set()  # character pairs that some piece holds
-        for piece, points in self.score.items():
-            for i in range(1, len(piece)):
-                self.starts.setdefault(piece[:i], NONE)
-            self.starts[piece] = points
-            self.inside.update(piece[i : i + 2] for i in range(len(piece) - 1))
-        self.id_score = np.full(size, self.byte_score, dtype=np.int64)
-        for piece, i in self.ids.items():
-            self.id_score[i] = self.score[piece]
+        self.starts = {piece[:i] for piece in self.score for i in range(1, len(piece) + 1)}
+        self.inside = {piece[i : i + 2] for piece in self.score for i in range(len(piece) - 1)}  # character pairs that some piece holds
         self.cut_at_space = not any(p[1] == SPACE and p[0] != SPACE for p in self.inside)
         self.cache: dict[str, bytes] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
 
     def fallback(self, c: str) -> bytes:
-        return (SPACE if c == RAW_SPACE else c).encode("utf-8", "surrogatepass")
+        """Packed ids of the bytes of a character outside the vocabulary."""
+        return self.byte_ids[np.frombuffer(c.encode(), np.uint8)].tobytes()
 
-    def forward(self, text: str, n: int, start: list[int]) -> tuple[list[int], list[int]]:
-        """Best scores and last piece lengths by end position, for pieces that begin before ``n``.
+    def merge(self, text: str) -> list[str]:
+        """The symbols left of ``text`` when no two neighbours make a piece any more.
 
-        ``start[s]`` is the score of arriving at position s from outside. Of equal scores the longest
-        last piece wins; arriving from outside (length 0) wins over any piece.
+        The neighbours whose piece scores best merge first; of equal scores, the leftmost. The pairs lie
+        in a heap, the symbols in a linked list.
+        """
+        known, n = self.score.get, len(text)
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-s, i, 2) for i in range(n - 1) if (s := known(text[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, both = heappop(heap)
+            j = after[i]
+            if not size[i] or j >= n or size[i] + size[j] != both:
+                continue  # one of the two has merged since
+            size[i], size[j] = both, 0
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (s := known(text[i : i + both + size[k]])) is not None:
+                    heappush(heap, (-s, i, both + size[k]))
+            h = before[i]
+            if h >= 0 and (s := known(text[h : i + both])) is not None:
+                heappush(heap, (-s, h, size[h] + both))
+        return [text[i : i + size[i]] for i in range(n) if size[i]]
+
+    def adjacent(self, left: str, right: str) -> bool:
+        """Whether ``left`` and ``right`` can follow each other: alone, their text gives just these two.
+
+        Merges are ordered by score and place, so those inside a stretch between two final pieces' ends
+        run as if it stood alone. Hence a row of pieces is a text's encoding if, and only if, all
+        neighbours in it can follow each other. "" stands for a place that no piece lies across.
+        """
+        if not left or left[-1] + right[0] not in self.inside:
+            return self.adjacent_none(right)
+        key = left, right
+        found = self.fits.get(key)
+        if found is None:
+            if len(self.fits) >= CACHE_WORDS:
+                self.fits.clear()
+            found = self.fits[key] = self.merge(left + right) == [left, right]
+        return found
+
+    def adjacent_none(self, piece: str) -> bool:
+        return len(piece) == 1 or self.merge(piece) == [piece]
+
+    def pieces_from(self, text: str, i: int) -> Iterator[int]:
+        """Ends of the pieces of ``text`` that begin at ``i``; a character outside the vocabulary is one by itself."""
+        if text[i] not in self.score:
+            yield i + 1
+        for j in range(i + 1, min(i + self.reach, len(text)) + 1):
+            part = text[i:j]
+            if part not in self.starts:
+                break
+            if part in self.score:
+                yield j
+
+    def states(self, text: str, at: int) -> list[tuple[int, int]]:
+        """The pieces ``(begin, end)`` that begin before ``at`` and end there or later: the states of that boundary."""
+        if at == 0:
+            return [(0, 0)]
+        return [(i, j) for i in range(max(0, at - self.reach), at) for j in self.pieces_from(text, i) if j >= at]
+
+    def paths(self, text: str, begin: int, end: int, entries: list[tuple[int, int]]) -> dict[int, dict[int, np.ndarray]]:
+        """Max-plus scores from each of ``entries`` to each piece that begins before ``end``, by its end and its begin.
+
+        The score of a row of pieces is 0 if all neighbours can follow each other, else there is none.
         """
-        best = [NONE] * (len(text) + 1)
-        back = [0] * (len(text) + 1)
-        for s, v in enumerate(start[: len(best)]):
-            best[s] = v
-        known, end = self.starts.get, len(text)
-        for i in range(n):
-            b = best[i]
-            if b <= NONE // 2:
-                continue
-            c = text[i]
-            if c not in self.score:
-                v = b + self.byte_score * len(self.fallback(c))
-                if v > best[i + 1]:
-                    best[i + 1], back[i + 1] = v, 1
-            for j in range(i + 1, end + 1):
-                s = known(text[i:j])
-                if s is None:
-                    break
-                if b + s > best[j]:
-                    best[j], back[j] = b + s, j - i
-        return best, back
-
-    def walk(self, text: str, back: list[int], at: int) -> tuple[list[int], int]:
-        """Piece ids of the best path that ends at ``at``, and the position where it came in from outside."""
-        out: list[int] = []
-        while back[at]:
-            piece = text[at - back[at] : at]
-            i = self.ids.get(piece)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in reversed(self.fallback(piece)))
-            else:
-                out.append(i)
-            at -= back[at]
-        return out[::-1], at
+        node: dict[int, dict[int, np.ndarray]] = {}
+        for k, (i, j) in enumerate(entries):
+            start = np.full(len(entries), NONE, dtype=np.int64)
+            start[k] = 0
+            node.setdefault(j, {})[i] = start
+        for i in range(begin, end):
+            for j in self.pieces_from(text, i) if i in node else ():
+                for h, score in node[i].items():
+                    if self.adjacent(text[h:i], text[i:j]):
+                        have = node.setdefault(j, {}).get(i)
+                        node[j][i] = score if have is None else np.maximum(have, score)
+        return node
+
+    def cuts(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and the last place from ``begin`` to before ``end`` that no piece lies across."""
+        safe = lambda i: i == 0 or text[i - 1 : i + 1] not in self.inside
+        first = next((i for i in range(begin, end) if safe(i)), None)
+        return None if first is None else (first, next(i for i in range(end - 1, first - 1, -1) if safe(i)))
+
+    def transfer(self, text: str, begin: int, end: int) -> np.ndarray:
+        """Max-plus transfer matrix of the chunk ``begin`` .. ``end`` of ``text``, from its states there to those at its end.
+
+        ``text`` holds what lies within the reach of a piece around the chunk. If the chunk holds cuts,
+        the matrix is the product of what leads to the first and what leads on from the last.
+        """
+        ins, outs = self.states(text, begin), self.states(text, end)
+        found = self.cuts(text, begin, end)
+
+        def leave(node: dict, entries: int) -> np.ndarray:
+            none = np.full(entries, NONE, dtype=np.int64)
+            return np.column_stack([node.get(j, {}).get(i, none) for i, j in outs])
+
+        if found is None:
+            return leave(self.paths(text, begin, end, ins), len(ins))
+        first, last = found
+        ends = self.paths(text, begin, first, ins).get(first, {})
+        head = np.max([np.full(len(ins), NONE, dtype=np.int64), *ends.values()], axis=0)
+        tail = leave(self.paths(text, last, end, [(last, last)]), 1)
+        return np.maximum(head[:, None] + tail, NONE)
+
+    def backtrace(self, text: str, entry: tuple[int, int], leave: tuple[int, int]) -> np.ndarray:
+        """Ids of the pieces after ``entry`` up to ``leave``, the pieces at a chunk's boundaries."""
+        first = text[entry[0] : entry[1]]
+        return self.encode_whole(text[entry[0] : leave[1]])[0 if not first else 1 if first in self.ids else len(first.encode()) :]
 
     def words(self, text: str) -> list[str]:
         """Cut where no piece can lie across: before each run of spaces, or nowhere if the file has such pieces."""
@@ -133,8 +190,7 @@ class PieceModel:
                 part = word[a:b]
                 ids = self.cache.get(part)
                 if ids is None:
-                    _, back = self.forward(part, len(part), [0])
-                    ids = np.array(self.walk(part, back, len(part))[0], dtype=np.int32).tobytes()
+                    ids = b"".join([self.packed.get(x) or self.fallback(x) for x in self.merge(part)])
                     self.keep(part, ids)
                 out.append(ids)
                 a = b
@@ -153,55 +209,6 @@ class PieceModel:
         get, encode = self.cache.get, self.encode_word
         return np.frombuffer(b"".join([get(w) or encode(w) for w in self.words(text)]), dtype=np.int32)
 
-    def cuts(self, text: str, n: int) -> tuple[int, int] | None:
-        """The first cut that every entry of a chunk must pass, and the last one; None if there is none."""
-        safe = lambda i: i >= len(text) or text[i - 1 : i + 1] not in self.inside
-        first = next((i for i in range(self.reach, n + 1) if safe(i)), None)
-        return None if first is None else (first, next(i for i in range(n, first - 1, -1) if safe(i)))
-
-    def transfer(self, text: str, n: int, last: bool) -> np.ndarray:
-        """Max-plus transfer matrix of a chunk: best score from entering at s to leaving at ``n`` + e.
-
-        ``text`` is the chunk of ``n`` characters and what follows it within the reach of a piece. If
-        the chunk holds cuts, the matrix is the product of three: entries to the first cut, the words
-        between the first and the last, and the last cut to the exits.
-        """
-        reach = self.reach
-        out = np.full((reach, reach), NONE, dtype=np.int64)
-        found = self.cuts(text, n)
-        if found is None:
-            for s in range(min(reach, n + 1)):
-                best, _ = self.forward(text, n, [NONE] * s + [0])
-                self._leave(out[s], best, n, last)
-            return out
-        a, b = found
-        middle = int(self.id_score[self.encode_whole(text[a:b])].sum())
-        best, _ = self.forward(text[b:], n - b, [0])
-        tail = np.full(reach, NONE, dtype=np.int64)
-        self._leave(tail, best, n - b, last)
-        for s in range(reach):
-            head, _ = self.forward(text[:a], a, [NONE] * s + [0])
-            if head[a] > NONE // 2:
-                out[s] = np.where(tail > NONE // 2, head[a] + middle + tail, NONE)
-        return out
-
-    def _leave(self, row: np.ndarray, best: list[int], n: int, last: bool) -> None:
-        for e in range(1 if last else self.reach):
-            if n + e < len(best) and best[n + e] > NONE // 2:
-                row[e] = best[n + e]
-
-    def backtrace(self, text: str, n: int, entry: int, leave: int) -> np.ndarray:
-        """Ids of the pieces that begin in the chunk, given where the whole text's best path enters and leaves it."""
-        found = self.cuts(text, n)
-        a, b = found or (n, n)
-        if found is None:
-            _, back = self.forward(text, n, [NONE] * entry + [0])
-            return np.array(self.walk(text, back, n + leave)[0], dtype=np.int32)
-        _, head = self.forward(text[:a], a, [NONE] * entry + [0])
-        _, tail = self.forward(text[b:], n - b, [0])
-        ends = [np.array(self.walk(t, back, at)[0], dtype=np.int32) for t, back, at in ((text[:a], head, a), (text[b:], tail, n - b + leave))]
-        return np.concatenate([ends[0], self.encode_whole(text[a:b]), ends[1]])
-
     def decode(self, ids) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
@@ -213,22 +220,30 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(best, NONE)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """``(entry, leave)`` of each chunk on the best path from state 0 to state 0.
+def fold(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of matrices in order, as a balanced tree; any grouping gives the same."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
 
-    A prefix scan carries the best score of each boundary state; then the states are read backwards.
+
+def boundary_states(matrices: list[np.ndarray], entry: int = 0, leave: int | None = None) -> list[tuple[int, int]]:
+    """``(entry, leave)`` of each matrix on the path from state ``entry`` before the first to ``leave`` after the last.
+
+    A prefix scan carries the score of each boundary state; then the states are read backwards. There
+    is one path at most between two states. Without ``leave``, it is the state that has one.
     """
-    reach = len(matrices[0])
-    at = np.full((1, reach), NONE, dtype=np.int64)
-    at[0, 0] = 0
+    at = np.full((1, len(matrices[0])), NONE, dtype=np.int64)
+    at[0, entry] = 0
     prefix = [at]
     for m in matrices:
         prefix.append(combine(prefix[-1], m))
-    state, out = 0, []
+    state = int(np.argmax(prefix[-1][0])) if leave is None else leave
+    out = []
     for m, before in zip(reversed(matrices), reversed(prefix[:-1])):
-        entry = int(np.argmax(before[0] + m[:, state]))
-        out.append((entry, state))
-        state = entry
+        came = int(np.argmax(before[0] + m[:, state]))
+        out.append((came, state))
+        state = came
     return out[::-1]
 
 
@@ -239,26 +254,31 @@ def model(path: str) -> PieceModel:
 
 
 def prepared(text: str) -> str:
-    """Spaces become U+2581, with one more in front; the text is otherwise left as it is."""
-    if SPACE in text:
-        text = text.replace(SPACE, RAW_SPACE)
+    """Spaces become U+2581, with one more in front."""
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def _matrix(cell: dict) -> np.ndarray:
+    return np.frombuffer(cell["m"], np.int64).reshape(cell["rows"], -1)
+
+
 def encode_pieces(
-    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15, group_chunks: int = 64
 ) -> DataFrame:
     """``(id, ids, n_pieces, n_chars, round_trip)``, one row for each input row.
 
-    ``ids`` is a segmentation of the text with the greatest sum of piece scores (any one of equals); characters outside the
-    vocabulary become byte pieces, so decoding gives the very text back (``round_trip`` says whether it
-    did). A null text counts as empty: no ids. Repeated rows stay; an empty table gives an empty
-    result; other columns are ignored.
+    ``ids`` are those that the library gives for the file, whatever ``chunk_chars`` and
+    ``group_chunks`` are: merges are ordered by score, then by place, so a text has one encoding.
+    Characters outside the vocabulary become byte pieces, so decoding gives the very text back;
+    ``round_trip`` says whether it did (not for a text that itself holds U+2581, which the format uses
+    for the space). A null text counts as empty: no ids. Repeated rows stay; an empty table gives an
+    empty result; other columns are ignored.
 
     Texts up to ``chunk_chars`` are one chunk and are encoded where they are read. Longer ones are cut
-    into chunks; every chunk yields its matrix in parallel, a text's matrices are combined to the
-    states at its chunk boundaries, and the chunks are then traced back independently. Chunks travel
-    with the characters that a piece can reach past their end.
+    into chunks, which travel with the characters that a piece can reach around them. Every chunk
+    yields its max-plus matrix in parallel; matrices are multiplied in groups, in parallel too, the
+    groups' products give the states between groups, and these the states between chunks. The
+    chunks are then traced back independently.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = src.schema["id"].dataType.simpleString()
@@ -280,65 +300,75 @@ def encode_pieces(
         reach = model(path).reach
         for b in batches:
             for key, t in zip(b.column(0), b.column(1)):
-                text, uid = t.as_py(), uuid.uuid4().hex
+                text, uid, plain = prepared(t.as_py()), uuid.uuid4().hex, SPACE not in t.as_py()
                 starts = range(0, len(text), chunk_chars)
-                rows = [(uid, k, k == len(starts) - 1, min(chunk_chars, len(text) - a), text[a : a + chunk_chars + reach - 1]) for k, a in enumerate(starts)]
-                names = ["uid", "k", "last", "n", "t"]
-                kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
+                rows = []
+                for k, a in enumerate(starts):
+                    low, end = max(0, a - reach), min(a + chunk_chars, len(text))
+                    rows.append((uid, k, a - low, end - low, plain, text[low : end + reach]))
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
                 for i in range(0, len(rows), 64):
                     part = list(zip(*rows[i : i + 64]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key.as_py()] * len(part[0]), b.schema.field(0).type), *map(pa.array, part, kinds)], names=["id", *names]
-                    )
-
-    chunks = materialize(src.where(~whole).mapInArrow(cut, f"id {kind}, uid string, k int, last boolean, n int, t string"), "chunks")
+                    columns = [pa.array([key.as_py()] * len(part[0]), b.schema.field(0).type), *map(pa.array, part, kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "uid", "k", "a", "z", "plain", "t"])
 
-    def chunk_text(k: int, n: int, t: str) -> tuple[str, int]:
-        return (prepared(t), n + 1) if k == 0 else (prepared(t)[1:], n)
+    # written, as the text's number is drawn anew by every run
+    chunks = materialize(src.where(~whole).mapInArrow(cut, f"id {kind}, uid string, k int, a int, z int, plain boolean, t string"), "chunks")
 
     def matrices(batches):
         m = model(path)
         for b in batches:
-            d = b.to_pydict()
-            mats = []
-            for k, n, last, t in zip(d["k"], d["n"], d["last"], d["t"]):
-                text, n = chunk_text(k, n, t)
-                mats.append(m.transfer(text, n, last).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mats, pa.binary())], names=["uid", "k", "m"])
+            mats = [m.transfer(r["t"], r["a"], r["z"]) for r in b.to_pylist()]
+            cells = [pa.array([len(x) for x in mats], pa.int32()), pa.array([x.tobytes() for x in mats], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], names=["uid", "k", "rows", "m"])
+
+    moves = materialize(chunks.select("uid", "k", "a", "z", "t").mapInArrow(matrices, "uid string, k int, rows int, m binary"), "matrices")
+    grouped = moves.withColumn("g", F.floor(F.col("k") / group_chunks).cast("int"))
+
+    def product(table):
+        first = table.slice(0, 1)
+        m = fold([_matrix(x) for x in table.sort_by("k").to_pylist()])
+        return pa.table({"uid": first["uid"], "g": first["g"], "rows": pa.array([len(m)], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
+
+    products = grouped.groupBy("uid", "g").applyInArrow(product, "uid string, g int, rows int, m binary")
+
+    def between(table):
+        t = table.sort_by("g")
+        states = boundary_states([_matrix(x) for x in t.to_pylist()])
+        return pa.table({"uid": t["uid"], "g": t["g"], "entry": pa.array([s for s, _ in states], pa.int32()), "leave": pa.array([e for _, e in states], pa.int32())})
 
-    moves = chunks.select("uid", "k", "n", "last", "t").mapInArrow(matrices, "uid string, k int, m binary")
+    outer = products.groupBy("uid").applyInArrow(between, "uid string, g int, entry int, leave int")
 
-    def scan(table):
+    def inner(table):
         t = table.sort_by("k")
-        size = math.isqrt(len(t.column("m")[0].as_py()) // 8)
-        states = boundary_states([np.frombuffer(x.as_py(), np.int64).reshape(size, size) for x in t.column("m")])
-        return pa.table({"uid": t.column("uid"), "k": t.column("k"), "entry": pa.array([s for s, _ in states], pa.int32()), "leave": pa.array([e for _, e in states], pa.int32())})
+        states = boundary_states([_matrix(x) for x in t.to_pylist()], t["entry"][0].as_py(), t["leave"][0].as_py())
+        return pa.table({"uid": t["uid"], "k": t["k"], "entry": pa.array([s for s, _ in states], pa.int32()), "leave": pa.array([e for _, e in states], pa.int32())})
 
-    states = moves.groupBy("uid").applyInArrow(scan, "uid string, k int, entry int, leave int")
+    states = grouped.join(outer, ["uid", "g"]).groupBy("uid", "g").applyInArrow(inner, "uid string, k int, entry int, leave int")
 
     def trace(batches):
         m = model(path)
         for b in batches:
-            d = b.to_pydict()
-            ids = []
-            for k, n, t, entry, leave in zip(d["k"], d["n"], d["t"], d["entry"], d["leave"]):
-                text, n = chunk_text(k, n, t)
-                ids.append(m.backtrace(text, n, entry, leave))
+            ids, raw = [], []
+            for r in b.to_pylist():
+                text, a, z = r["t"], r["a"], r["z"]
+                ids.append(m.backtrace(text, m.states(text, a)[r["entry"]], m.states(text, z)[r["leave"]]))
+                raw.append(text[a:z])
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            raw = [t[:n] for t, n in zip(d["t"], d["n"])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists, pa.array(raw, pa.string())], names=["id", "uid", "k", "ids", "raw"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], lists, pa.array(raw, pa.string())], names=["id", "uid", "k", "plain", "ids", "raw"])
 
-    traced = chunks.join(states, ["uid", "k"]).select("id", "uid", "k", "n", "t", "entry", "leave").mapInArrow(trace, f"id {kind}, uid string, k int, ids array<int>, raw string")
+    traced = chunks.join(states, ["uid", "k"]).select("id", "uid", "k", "plain", "a", "z", "t", "entry", "leave").mapInArrow(trace, f"id {kind}, uid string, k int, plain boolean, ids array<int>, raw string")
     ordered = F.array_sort(F.collect_list(F.struct("k", "ids", "raw")))
-    gathered = traced.groupBy("uid").agg(F.first("id").alias("id"), ordered.alias("c")).select("id", F.flatten("c.ids").alias("ids"), F.array_join("c.raw", "").alias("t"))
+    gathered = traced.groupBy("uid").agg(F.first("id").alias("id"), F.first("plain").alias("plain"), ordered.alias("c"))
+    gathered = gathered.select("id", F.flatten("c.ids").alias("ids"), F.array_join("c.raw", "").alias("t"), "plain")
 
     def check(batches):
         m = model(path)
         for b in batches:
             texts = b.column(2).to_pylist()
-            ok = [m.decode(i.as_py()) == t for i, t in zip(b.column(1), texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, texts), pa.int64()), pa.array(ok)], names=["id", "ids", "n_chars", "round_trip"])
+            ok = [p.as_py() and prepared(m.decode(i.as_py())) == t for i, t, p in zip(b.column(1), texts, b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) - 1 for t in texts], pa.int64()), pa.array(ok)], names=["id", "ids", "n_chars", "round_trip"])
 
     long = gathered.mapInArrow(check, f"id {kind}, ids array<int>, n_chars long, round_trip boolean")
     return short.unionByName(long).select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_pieces"), "n_chars", "round_trip")
