@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, materialize
 
 KINDS = ("email", "ip", "card", "phone")
+ADDED = (*KINDS, "secret")  # kinds that the method can add
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MARKED = re.compile(r"[0-9@]")
+NUMERIC = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*")
+NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
+QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+HEX = re.compile(r"[0-9a-fA-F]{32,}")
 DIGITS = re.compile(r"[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WHITE = " \t\n\x0b\x0c\r"
@@ -85,26 +91,97 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def neighbours(text: str, start: int, end: int) -> tuple[str, str]:
-    """The word before and the word after a span, lower-cased, of 40 characters at most; "" at the text's ends.
+def shape(token: str) -> str:
+    """The character classes of a token, its other ASCII marks, and its length to the next power of two."""
+    kinds = {"9" if c.isdigit() else "a" if c.isalpha() else c if c < "\x7f" else "u" for c in token}
+    return "".join(sorted(kinds)) + str(len(token).bit_length())
+
+
+def refused(token: str) -> str | None:
+    """The kind whose form a token has, but whose check it fails: it is evidence against that kind."""
+    if QUAD.fullmatch(token):
+        return "ip"
+    if NUMBER.fullmatch(token) and 12 <= len(DIGITS.findall(token)) <= 19:
+        return "card"
+    return "phone" if token.startswith("+") and not 9 <= len(DIGITS.findall(token)) <= 15 else None
+
+
+def seed_of(token: str) -> str | None:
+    """Seeds besides the base matches: long hexadecimal strings with letters and digits may be secrets."""
+    return "secret" if HEX.fullmatch(token) and not token.isdigit() and MARKED.search(token) else None
 
-    A piece of the span's own word counts as its neighbour (``mail:`` in ``mail:a@b.c``).
-    """
-    left = text[max(0, start - 60) : start].rstrip(WHITE)
-    right = text[end : end + 60].lstrip(WHITE)
-    lw = re.split(r"[\x20\x09-\x0D]+", left)[-1] if left else ""
-    rw = re.split(r"[\x20\x09-\x0D]+", right, maxsplit=1)[0] if right else ""
-    return lw[-40:].lower(), rw[:40].lower()
 
+def segments(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None]]:
+    """``(start, end, kind)``: the words of a text in order, cut at base spans, which are one each whatever they hold.
 
-MENTIONS = "id {kind}, th long, base string, start int, end int, token string, lw string, rw string, seed string"
+    Punctuation around a word is left out unless the word is nothing else. Neighbouring numeric words are
+    one, ``555 123 4567``, if one white space lies between and they have the digits of a phone number.
+    """
+    out: list[tuple[int, int, int | None]] = []
+    at, k = 0, 0
+    merged: list[tuple[int, int, int]] = []  # base spans can overlap: the first of those that do counts
+    for s, kind, e in base:
+        if not merged or s >= merged[-1][2]:
+            merged.append((s, kind, e))
+    for s, kind, e in [*merged, (len(text), -1, len(text))]:
+        for m in WORD.finditer(text, at, s):
+            a, z, word = m.start(), m.end(), m.group()
+            if inner := word.strip("\"'()[]{}<>,;:!?.#$%&*|"):
+                a += word.index(inner)
+                z = a + len(inner)
+            out.append((a, z, None))
+        if kind >= 0:
+            out.append((s, e, kind))
+        at = e
+    joined: list[tuple[int, int, int | None]] = []
+    while k < len(out):
+        s, e, kind = out[k]
+        n = k + 1
+        if kind is None and NUMERIC.fullmatch(text, s, e):
+            digits = len(DIGITS.findall(text, s, e))
+            while n < len(out) and out[n][2] is None and (gap := text[out[n - 1][1] : out[n][0]].strip("()")) in WHITE and len(gap) == 1 and NUMERIC.fullmatch(text, *out[n][:2]):
+                digits += len(DIGITS.findall(text, *out[n][:2]))
+                n += 1
+            if n - k > 1 and 7 <= digits <= 15:
+                e = out[n - 1][1]
+            else:
+                n = k + 1
+        joined.append((s, e, kind))
+        k = n
+    return joined
+
+
+def context_word(text: str, span: tuple[int, int, int | None]) -> str:
+    """A neighbour as patterns see it: a base match by its kind, any word whole (a long one by its hash)."""
+    if span[2] is not None:
+        return f"<{KINDS[span[2]]}>"
+    word = text[span[0] : span[1]].lower()
+    return word if len(word) <= 32 else hashlib.md5(word.encode()).hexdigest()
+
+
+def patterns_of(text: str, spans: list, i: int) -> list[str]:
+    """The lexical patterns around a span: the words on both sides, two on the left, and one of either with the span's shape."""
+    left = context_word(text, spans[i - 1]) if i else ""
+    right = context_word(text, spans[i + 1]) if i + 1 < len(spans) else ""
+    form = shape(text[spans[i][0] : spans[i][1]])
+    out = [f"{left} * {right}"] if left and right else []
+    if i > 1:
+        out.append(f"{context_word(text, spans[i - 2])} {left} *")
+    if left:
+        out.append(f"{left} * {form}")
+    if right:
+        out.append(f"* {right} {form}")
+    return out
+
+
+MENTIONS = "id {kind}, th long, base string, start int, end int, token string, patterns array<string>, seed string, refused string"
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document (``start`` null) with its base spans, and one for each identifier-like span in context.
+    """One row for each document (``start`` null) with its base spans, and one for each identifier-like span with its patterns.
 
     Spans are the base matches (``seed`` is their kind) and all other words that hold a digit or an at
-    sign and touch no base match, stripped of surrounding punctuation.
+    sign; ``seed`` of these is set for likely secrets, ``refused`` for the kind whose check one fails.
     """
 
     def run(batches):
@@ -114,52 +191,35 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = cell.as_py() or ""
                 base = base_spans(text)
                 out.append((key, th, spell(base), None, None, None, None, None, None))
-                for s, k, e in base:
-                    lw, rw = neighbours(text, s, e)
-                    out.append((key, th, None, s, e, hashlib.md5(text[s:e].encode()).hexdigest(), lw, rw, KINDS[k]))
-                i = 0
-                for m in TOKEN.finditer(text) if DIGITS.search(text) or "@" in text else ():
-                    s, e = m.span()
-                    word = m.group()
-                    s += len(word) - len(word.lstrip("\"'([{<,;:!?#$%&*|"))
-                    e -= len(word) - len(word.rstrip("\"')]}>,;:!?.#$%&*|"))
-                    while i < len(base) and base[i][2] <= s:
-                        i += 1
-                    if e <= s or any(x[0] < e and x[2] > s for x in base[max(0, i - 3) : i + 4]):
+                spans = segments(text, base) if MARKED.search(text) else []
+                for i, (s, e, kind) in enumerate(spans):
+                    if kind is None and not MARKED.search(text, s, e):
                         continue
-                    lw, rw = neighbours(text, s, e)
-                    out.append((key, th, None, s, e, hashlib.md5(text[s:e].encode()).hexdigest(), lw, rw, None))
+                    token = text[s:e]
+                    seed = seed_of(token) if kind is None else KINDS[kind]
+                    name = hashlib.md5(token.encode()).hexdigest()
+                    out.append((key, th, None, s, e, name, patterns_of(text, spans, i), seed, refused(token) if kind is None else None))
             if not out:
                 continue
             schema = pa.schema([b.schema.field(0), *fields])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    text = {"th": pa.int64(), "base": pa.string(), "start": pa.int32(), "end": pa.int32()}
-    fields = [pa.field(n, text.get(n, pa.string())) for n in ("th", "base", "start", "end", "token", "lw", "rw", "seed")]
+    types = {"th": pa.int64(), "start": pa.int32(), "end": pa.int32(), "patterns": pa.list_(pa.string())}
+    fields = [pa.field(n, types.get(n, pa.string())) for n in ("th", "base", "start", "end", "token", "patterns", "seed", "refused")]
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     return src.mapInArrow(run, MENTIONS.format(kind=src.schema["id"].dataType.simpleString()))
 
 
-def patterns_of(lw: str, rw: str) -> Column:
-    """An array of the lexical patterns of a context: the words on both sides, on the left, on the right.
-
-    A missing word makes no pattern by itself; ``*`` stands for any.
-    """
-    left, right = F.col(lw), F.col(rw)
-    both = F.when((left != "") & (right != ""), F.concat(left, F.lit(" * "), right))
-    return F.array_compact(F.array(both, F.when(left != "", F.concat(left, F.lit(" *"))), F.when(right != "", F.concat(F.lit("* "), right))))
-
-
 def bootstrap(seen: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     """``(kind, pattern, confidence)``: patterns learned from seeds over ``rounds`` of the pattern-instance graph.
 
-    ``seen`` is a table of (token, lw, rw, seed). Each round scores a pattern, for one kind, by the
+    ``seen`` is a table of (token, patterns, seed). Each round scores a pattern, for one kind, by the
     share of its distinct instances that are believed to be of the kind, needs ``min_support`` such
     instances, and then believes in an instance as much as in its best pattern. Seeds are believed in
     for good.
     """
     believed = seen.where("seed is not null").groupBy("token", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("belief"))
-    edges = materialize(seen.select("token", F.explode(patterns_of("lw", "rw")).alias("pattern")).distinct(), "pattern-edges")
+    edges = materialize(seen.select("token", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
     size = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")), "pattern-sizes")
     for i in range(rounds):
         score = (
@@ -190,7 +250,9 @@ def find_pii(
 ) -> DataFrame:
     """``(id, th, base, spans)``, one row for each input row: base spans and all spans, as kind:start:end lists.
 
-    Positions are code points, ends exclusive, ordered by start, then kind. A null text counts as
+    Positions are code points, ends exclusive, ordered by start, then kind. Added spans are of a base kind
+    or secrets; what has the form of a base kind but fails its check is never added as one. Likely
+    secrets only count if a pattern confirms them. A null text counts as
     empty. Repeated rows stay, each with its spans; an empty table gives an empty result; other
     columns are ignored.
 
@@ -200,11 +262,12 @@ def find_pii(
     """
     found = materialize(mentions(docs, id_col, text_col), "mentions")
     spans = found.where("start is not null")
-    patterns = bootstrap(spans.select("token", "lw", "rw", "seed"), rounds, min_support, min_confidence)
+    patterns = bootstrap(spans.select("token", "patterns", "seed"), rounds, min_support, min_confidence)
     matched = (
-        spans.where("seed is null")
-        .select("id", "th", "start", "end", F.explode(patterns_of("lw", "rw")).alias("pattern"))
+        spans.where(F.col("seed").isNull() | ~F.col("seed").isin(*KINDS))
+        .select("id", "th", "start", "end", "refused", F.explode("patterns").alias("pattern"))
         .join(broadcast_if_small(patterns), "pattern")
+        .where("refused is null or refused != kind")
     )
     best = matched.groupBy("id", "th", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = best.select(
@@ -217,7 +280,7 @@ def find_pii(
         .agg(F.max("base").alias("base"), F.count("base").alias("rows"), F.collect_set("more").alias("more"))
     )
     parts = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.col("more"))
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    rank = F.create_map(*[x for i, k in enumerate(ADDED) for x in (F.lit(k), F.lit(i))])
     keyed = F.transform(
         parts,
         lambda x: F.named_struct(
