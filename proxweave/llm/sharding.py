@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+COPIES = 1 << 16  # copies of one row that one step makes
+
 
 def ring(shards: int, vnodes: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Sorted positions (signed 64-bit) of all virtual nodes and the shard of each.
@@ -83,12 +85,13 @@ def ring_shards(
     at most ``ceil((1 + epsilon) * rows / shards)`` rows (at 0: quotas one row apart at most), and
     keys beyond that continue clockwise. Slots of a shard are gapless from 0.
 
-    Scale: one scan of the text leaves five narrow columns. Rows are ranked within (arc, salt), where
-    the salt comes from the id and the row's input partition, so that even one id on a third of all
-    rows is split. Only arc-by-salt counts, ``shards * vnodes * salts`` at most, reach the driver or
-    are broadcast. Null ids hash like any other; null or empty texts have size 8 and checksum 0;
-    repeated rows each get their own slot; an empty table gives an empty result; other columns of
-    the input are ignored.
+    Scale: one scan of the text leaves five narrow columns, and rows that repeat an id and a text are one
+    with a count from the start. These are ranked within (arc, salt), where the salt is a hash of id
+    and text, so that neither one id nor one row on a third of the table makes a large group; the
+    result depends on the rows alone, not on how they are partitioned. Only arc-by-salt counts,
+    ``shards * vnodes * salts`` at most, reach the driver or are broadcast. Null ids hash like any other;
+    null or empty texts have size 8 and checksum 0; repeated rows each get their own slot; an empty
+    table gives an empty result; other columns of the input are ignored.
     """
     if shards < 1 or vnodes < 1 or salts < 1:
         raise ValueError("shards, vnodes and salts must be positive")
@@ -100,16 +103,16 @@ def ring_shards(
         return pd.Series((np.searchsorted(pos, key.to_numpy(np.int64)) % len(pos)).astype(np.int32))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = docs.select(
+    rows = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + F.lit(8)).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        arc_of(F.xxhash64(F.col(id_col))).alias("arc"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.spark_partition_id()), F.lit(salts)).cast("int").alias("salt"),
     )
-    keys = materialize(keys, "shard-keys")  # fixes the salt, and the text is read once
+    salt = F.pmod(F.xxhash64(F.lit(seed), "id", "size", "crc"), F.lit(salts)).cast("int")
+    keys = rows.groupBy("id", "size", "crc").agg(F.count(F.lit(1)).alias("copies"))
+    keys = materialize(keys.select("*", arc_of(F.xxhash64("id")).alias("arc"), salt.alias("salt")), "shard-keys")
 
-    cells = keys.groupBy("arc", "salt").count().toPandas()  # at most shards * vnodes * salts rows
+    cells = keys.groupBy("arc", "salt").agg(F.sum("copies").alias("count"), F.max("copies").alias("most")).toPandas()  # at most shards * vnodes * salts rows
     cells = cells.sort_values(["arc", "salt"], ignore_index=True)
     cells["base"] = cells.groupby("arc")["count"].cumsum() - cells["count"]
     counts = np.bincount(cells["arc"], weights=cells["count"], minlength=len(owner)).astype(np.int64)
@@ -123,11 +126,19 @@ def ring_shards(
         "arc int, home int, segments array<struct<end:long,shard:int,shift:long>>",
     )
     order = Window.partitionBy("arc", "salt").orderBy("id", "crc", "size")
-    placed = (
-        keys.withColumn("n", F.row_number().over(order))
+    block = F.lit(COPIES)
+    ranked = (
+        keys.withColumn("first", F.sum("copies").over(order) - F.col("copies"))
         .join(F.broadcast(base), ["arc", "salt"])
+        .select("id", "size", "crc", "arc", "copies", (F.col("base") + F.col("first")).alias("first"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / block))))
+    )
+    if len(cells) and cells["most"].max() > COPIES:
+        ranked = ranked.repartition("arc", "first", "block")  # a row's copies are made by many tasks
+    copy = F.sequence(F.col("first") + F.col("block") * block, F.col("first") + F.least(F.col("copies"), (F.col("block") + 1) * block) - 1)
+    placed = (
+        ranked.withColumn("rank", F.explode(copy))
         .join(F.broadcast(plan), "arc")
-        .withColumn("rank", F.col("base") + F.col("n") - 1)
         .withColumn("to", F.filter("segments", lambda s: F.col("rank") < s["end"])[0])
     )
     return placed.select(

@@ -78,6 +78,61 @@ def test_shards(spark, epsilon, shards):
     assert (p.text_crc32 == [zlib.crc32(f"t{i % 9}".encode()) for i in p.doc_id]).all() and (p["size"] == 10).all()
 
 
+def brute_shards(spark, rows, shards, vnodes, epsilon, salts):
+    """Row by row: each arc's rows go to its own shard while that has room, the others clockwise to the next that has."""
+    import struct
+
+    ring = sorted(
+        (x - 2**64 if x >= 2**63 else x, s) for s in range(shards) for v in range(vnodes) for x in [xxhash.xxh64_intdigest(struct.pack("<ii", s, v), 42)]
+    )
+    known = spark.createDataFrame([(i, t, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows], "i long, t string, s long, c long")
+    placed = known.select("i", "s", "c", F.xxhash64("i").alias("k"), F.pmod(F.xxhash64(F.lit(42), "i", "s", "c"), F.lit(salts)).alias("salt")).collect()
+    arcs = [[] for _ in ring]
+    for r in placed:
+        after = [a for a, (x, _) in enumerate(ring) if x >= r["k"]]
+        arcs[after[0] if after else 0].append((r["salt"], r["i"] is not None, r["i"] or 0, r["c"], r["s"], r["i"]))
+    room = [len(rows) // shards + (s < len(rows) % shards) if not epsilon else int(np.ceil((1 + epsilon) * len(rows) / shards)) for s in range(shards)]
+    out, over = [], []
+    for a, arc in enumerate(arcs):
+        for r in sorted(arc, key=lambda r: r[:5]):
+            s = ring[a][1]
+            if room[s]:
+                room[s] -= 1
+                out.append((r[5], r[3], s))
+            else:
+                over.append((a, r))
+    for a, r in over:
+        while not room[ring[a % len(ring)][1]]:
+            a += 1
+        s = ring[a % len(ring)][1]
+        room[s] -= 1
+        out.append((r[5], r[3], s))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("epsilon,shards,vnodes", [(0.0, 24, 64), (0.0, 5, 3), (0.25, 7, 4)])
+def test_placement_equals_brute_force(spark, monkeypatch, epsilon, shards, vnodes):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, rng.randrange(300)]), rng.choice(["x", "", None, f"t{rng.randrange(50)}"])) for _ in range(600)]
+    want = brute_shards(spark, rows, shards, vnodes, epsilon, 16)
+    monkeypatch.setattr(sharding, "COPIES", 4)
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        p = sharding.ring_shards(docs, shards, vnodes=vnodes, epsilon=epsilon).toPandas()
+        assert Counter((None if pd.isna(i) else int(i), int(c), int(s)) for i, c, s in zip(p.doc_id, p.text_crc32, p.shard)) == want
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in p.groupby("shard"))
+
+
+def test_movement_at_the_query_settings(spark):
+    docs = spark.createDataFrame([(i, "") for i in range(6000)], "doc_id long, text string")
+    at = lambda n: sharding.ring_shards(docs, n).toPandas().set_index("doc_id")
+    a, b = at(24), at(25)
+    # the ring itself moves rows into the new shard only; exact quotas add overflow that moves on, but most rows stay
+    home = a.home_shard != b.home_shard.loc[a.index]
+    assert (b.home_shard.loc[a.index][home] == 24).all() and home.mean() < 0.1
+    assert (a.shard != b.shard.loc[a.index]).mean() < 0.45
+
+
 def test_shards_move_little(spark):
     docs = spark.createDataFrame([(i, "") for i in range(4000)], "doc_id long, text string")
     at = lambda n: sharding.ring_shards(docs, n, epsilon=0.3).toPandas().set_index("doc_id").shard
