@@ -16,13 +16,18 @@ COMMON_WORDS = {
     "de": {"der": 35, "die": 35, "und": 28, "in": 18, "den": 13, "von": 11, "zu": 11, "das": 11, "mit": 9, "sich": 8, "des": 8, "ist": 8, "im": 7, "dem": 7, "nicht": 6, "ein": 6},
     "es": {"de": 60, "la": 38, "que": 30, "el": 28, "en": 26, "y": 25, "los": 17, "a": 16, "se": 13, "del": 12, "las": 11, "un": 10, "por": 9, "con": 9, "una": 8, "su": 7},
 }
-CHARACTERS = {"letter": 795, "upper": 20, "space": 160, "digit": 5, "mark": 19, "symbol": 1}
+CHARACTERS = {
+    "en": {"letter": 782, "accent": 0, "upper": 25, "space": 165, "digit": 5, "mark": 22, "symbol": 1},
+    "fr": {"letter": 755, "accent": 30, "upper": 22, "space": 160, "digit": 5, "mark": 27, "symbol": 1},
+    "de": {"letter": 768, "accent": 15, "upper": 55, "space": 138, "digit": 5, "mark": 18, "symbol": 1},
+    "es": {"letter": 768, "accent": 22, "upper": 22, "space": 162, "digit": 5, "mark": 20, "symbol": 1},
+}
 
 SYMBOLS = r"[#*$%&|<>]"
 OTHER_SYMBOLS = r"[^\x00-\x7F\p{L}\p{N}\s]|[\x00-\x08\x0E-\x1F@^_`~{}=+/\\\[\]\x7F]"
 MARKS = r"""[.,;:!?'"()\-]"""
 
-UPPER_CASE, DIGIT = r"\p{Lu}", r"\p{Nd}"
+UPPER_CASE, DIGIT, ACCENT = r"\p{Lu}", r"\p{Nd}", "[ß-öø-ÿœ]"
 
 LONG = "array<long>"
 
@@ -56,17 +61,18 @@ def quality_rules(
     text_col: str = "text",
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    guard_words: int = 50,
+    guard_words: int = 100,
     max_distance: float = 0.5,
 ) -> DataFrame:
-    """One row for each input row: counts, ``base_failed``, both distances, ``kept``.
+    """One row for each input row: counts, ``base_failed``, the nearest language, both distances, ``kept``.
 
     Words are runs of characters other than ASCII white space. A row fails the base rules with under
     ``min_words`` words, or if over ``max_repeat_percent`` of them are in 3-word windows that occur
-    twice or more. Of the others, a text is dropped if the Jensen-Shannon distances of its character
-    classes, and of its common words to the nearest language reference, add up to more than
-    ``max_distance`` (either is 1 at most). Texts of under ``guard_words`` words are too short for a
-    histogram and pass this part.
+    twice or more. Of the others, a text is dropped if its Jensen-Shannon distances to a language's
+    references, that of character classes and that of common words, add up to more than
+    ``max_distance`` for every language (either is 1 at most). ``language`` is the nearest, of equal ones
+    the first, and the distances are those to it. Texts of under ``guard_words`` words are too short for
+    a histogram: they have no distances and pass this part.
 
     A null text counts as empty (0 words, base_failed). Repeated rows stay; an empty table gives an
     empty result; other columns are ignored. One scan, no shuffle, no Python: everything is per row.
@@ -121,6 +127,7 @@ def quality_rules(
         count(OTHER_SYMBOLS).alias("n_other"),
         count(UPPER_CASE).alias("n_upper"),
         count(DIGIT).alias("n_digit"),
+        count(ACCENT).alias("n_accent"),
         count(MARKS).alias("n_mark"),
         F.lower("common").alias("cw"),
     ).drop("p", "t", "common")
@@ -131,25 +138,25 @@ def quality_rules(
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         *[F.transform(F.array(*map(F.lit, words)), times).alias(f"c_{k}") for k, words in COMMON_WORDS.items()],
     ).drop("lines", "cw")
+    spaces = F.col("n_chars") - F.col("word_chars")
+    symbols = F.col("n_symbols") + F.col("n_other")
+    letters = F.greatest(F.col("word_chars") - F.col("n_accent") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark") - symbols, F.lit(0))
+    chars = F.array(*[c.cast("double") for c in (letters, F.col("n_accent"), F.col("n_upper"), spaces, F.col("n_digit"), F.col("n_mark"), symbols)])
     by_language = []
     for k, words in COMMON_WORDS.items():
         rest = F.col("n_words") - F.aggregate(f"c_{k}", F.lit(0.0), lambda a, x: a + x)
         have = F.concat(f"c_{k}", F.array(F.greatest(rest, F.lit(0.0))))
-        by_language.append(_js_distance(have, F.col("n_words"), [*words.values(), 1000 - sum(words.values())]))
-    spaces = F.col("n_chars") - F.col("word_chars")
-    symbols = F.col("n_symbols") + F.col("n_other")
-    letters = F.greatest(F.col("word_chars") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark") - symbols, F.lit(0))
-    chars = F.array(*[c.cast("double") for c in (letters, F.col("n_upper"), spaces, F.col("n_digit"), F.col("n_mark"), symbols)])
+        by_word = _js_distance(have, F.col("n_words"), [*words.values(), 1000 - sum(words.values())])
+        by_char = _js_distance(chars, F.col("n_chars"), list(CHARACTERS[k].values()))
+        by_language.append(F.struct(by_word.alias("w"), by_char.alias("c"), F.lit(k).alias("k")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    long_enough = F.col("n_words") >= guard_words
-    scored = counted.select(
-        "*",
-        failed.alias("base_failed"),
-        F.when(long_enough, F.least(*by_language)).alias("word_distance"),
-        F.when(long_enough, _js_distance(chars, F.col("n_chars"), list(CHARACTERS.values()))).alias("char_distance"),
-    )
-    near = F.coalesce(F.col("word_distance") + F.col("char_distance") <= max_distance, F.lit(True))
-    return scored.select(
+    # rounded, so that the last digits of a sum decide neither the language nor the verdict
+    ranked = F.transform(F.array(*by_language), lambda x: F.struct(F.round(x["w"] + x["c"], 9).alias("sum"), x["w"], x["c"], x["k"]))
+    first = lambda a, x: F.when(x["sum"] < a["sum"], x).otherwise(a)
+    nearest = F.reduce(F.slice("d", 2, len(COMMON_WORDS)), F.get("d", F.lit(0)), first)
+    scored = counted.select("*", failed.alias("base_failed"), F.when(F.col("n_words") >= guard_words, ranked).alias("d")).select("*", nearest.alias("at"))
+    near = F.coalesce(F.col("at.sum") <= max_distance, F.lit(True))
+    row = F.struct(
         F.col("id").alias(id_col),
         "n_words",
         "word_chars",
@@ -157,7 +164,10 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        "word_distance",
-        "char_distance",
+        F.col("at.k").alias("language"),
+        F.col("at.w").alias("word_distance"),
+        F.col("at.c").alias("char_distance"),
         (~F.col("base_failed") & near).alias("kept"),
     )
+    # a generator, as a later filter on these columns would else be pushed below the steps above and repeat them in every lambda
+    return scored.select(F.inline(F.array(row)))

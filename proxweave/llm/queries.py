@@ -14,7 +14,7 @@ from .context_tree import context_tree_scores
 from .decontaminate import decontaminate
 from .html_text import html_text
 from .pu_quality import pu_quality
-from .quality_rules import CHARACTERS, COMMON_WORDS, DIGIT, MARKS, OTHER_SYMBOLS, SYMBOLS, UPPER_CASE, quality_rules
+from .quality_rules import ACCENT, CHARACTERS, COMMON_WORDS, DIGIT, MARKS, OTHER_SYMBOLS, SYMBOLS, UPPER_CASE, quality_rules
 from .sentence_pieces import encode_pieces
 from .sharding import ring_shards
 from .simhash import simhash_components
@@ -123,12 +123,13 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 
 _REFERENCE = ", ".join(f"('{k}', '{w}', {n / 1000})" for k, words in COMMON_WORDS.items() for w, n in words.items())
 _REST = ", ".join(f"('{k}', {(1000 - sum(words.values())) / 1000})" for k, words in COMMON_WORDS.items())
-_SHARES = {k: n / sum(CHARACTERS.values()) for k, n in CHARACTERS.items()}
+_CHARS = ", ".join(f"('{k}', {i}, {', '.join(str(n / sum(c.values())) for n in c.values())})" for i, (k, c) in enumerate(CHARACTERS.items()))
+_CLASSES = len(CHARACTERS["en"])
 
 
 def _part(p: str, q: str) -> str:
     """One class of twice the Jensen-Shannon divergence of shares p and q."""
-    return f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + {q} * log2({q} / (({p} + {q}) / 2)))"
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
 
 
 def _matches(pattern: str) -> str:
@@ -147,27 +148,32 @@ rep AS (
 ),
 ref AS (SELECT * FROM (VALUES {_REFERENCE}) r(lang, word, q)), rest AS (SELECT * FROM (VALUES {_REST}) r(lang, q)),
 cnt AS (SELECT rid, lower(x) AS word, count(*) AS n FROM (SELECT rid, unnest(w) AS x FROM w) GROUP BY 1, 2),
-has AS (SELECT w.rid, ref.lang, ref.q, coalesce(cnt.n, 0) / CAST(len(w.w) AS DOUBLE) AS p FROM w CROSS JOIN ref LEFT JOIN cnt ON cnt.rid = w.rid AND cnt.word = ref.word WHERE len(w.w) >= 50),
+has AS (SELECT w.rid, ref.lang, ref.q, coalesce(cnt.n, 0) / CAST(len(w.w) AS DOUBLE) AS p FROM w CROSS JOIN ref LEFT JOIN cnt ON cnt.rid = w.rid AND cnt.word = ref.word WHERE len(w.w) >= 100),
 jsl AS (SELECT has.rid, has.lang, sum({_part('p', 'has.q')}) AS s, 1 - sum(p) AS p, any_value(rest.q) AS q FROM has JOIN rest ON rest.lang = has.lang GROUP BY 1, 2),
-js AS (SELECT rid, min(sqrt(greatest((s + {_part('p', 'q')}) / 2, 0))) AS word_distance FROM jsl GROUP BY rid),
+js AS (SELECT rid, lang, sqrt(greatest((s + {_part('p', 'q')}) / 2, 0)) AS word_distance FROM jsl),
 c AS (
-  SELECT w.rid, doc_id, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars, length(t) AS n_chars,
+  SELECT w.rid, doc_id, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars, length(t) AS n_chars, {_matches(ACCENT)} AS ac,
     {_matches(SYMBOLS)} AS n_symbols, {_matches(OTHER_SYMBOLS)} AS n_other, {_matches(UPPER_CASE)} AS up, {_matches(DIGIT)} AS dg, {_matches(MARKS)} AS mk,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (rid)
 ),
 sh AS (
-  SELECT *, greatest(word_chars - up - dg - mk - n_symbols - n_other, 0) / CAST(n_chars AS DOUBLE) AS s1, up / CAST(n_chars AS DOUBLE) AS s2, (n_chars - word_chars) / CAST(n_chars AS DOUBLE) AS s3,
-    dg / CAST(n_chars AS DOUBLE) AS s4, mk / CAST(n_chars AS DOUBLE) AS s5, (n_symbols + n_other) / CAST(n_chars AS DOUBLE) AS s6
-  FROM c
+  SELECT rid, greatest(word_chars - ac - up - dg - mk - n_symbols - n_other, 0) / CAST(n_chars AS DOUBLE) AS s1, ac / CAST(n_chars AS DOUBLE) AS s2, up / CAST(n_chars AS DOUBLE) AS s3,
+    (n_chars - word_chars) / CAST(n_chars AS DOUBLE) AS s4, dg / CAST(n_chars AS DOUBLE) AS s5, mk / CAST(n_chars AS DOUBLE) AS s6, (n_symbols + n_other) / CAST(n_chars AS DOUBLE) AS s7
+  FROM c WHERE n_words >= 100
 ),
+chars AS (SELECT * FROM (VALUES {_CHARS}) r(lang, place, {', '.join(f'q{i + 1}' for i in range(_CLASSES))})),
+pairs AS (
+  SELECT js.rid, js.lang, place, word_distance, sqrt(greatest(({' + '.join(_part(f's{i + 1}', f'q{i + 1}') for i in range(_CLASSES))}) / 2, 0)) AS char_distance
+  FROM js JOIN sh USING (rid) JOIN chars ON chars.lang = js.lang
+),
+near AS (SELECT *, round(word_distance + char_distance, 9) AS total, row_number() OVER (PARTITION BY rid ORDER BY round(word_distance + char_distance, 9), place) AS k FROM pairs),
 v AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CASE WHEN n_words >= 50 THEN sqrt(greatest(({' + '.join(_part(f's{i + 1}', str(q)) for i, q in enumerate(_SHARES.values()))}) / 2, 0)) END AS char_distance
-  FROM sh LEFT JOIN js USING (rid)
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM c LEFT JOIN (SELECT rid, lang AS language, word_distance, char_distance, total FROM near WHERE k = 1) USING (rid)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, round(word_distance, 6) AS word_distance, round(char_distance, 6) AS char_distance, NOT base_failed AND coalesce(word_distance + char_distance <= 0.5, true) AS kept
+  base_failed, language, round(word_distance, 6) AS word_distance, round(char_distance, 6) AS char_distance, NOT base_failed AND coalesce(total <= 0.5, true) AS kept
 FROM v
 """
 

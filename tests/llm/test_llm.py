@@ -810,23 +810,55 @@ def test_rules(spark, odd, empty):
 
 
 def test_distances_are_jensen_shannon(spark):
-    shares = {k: np.array([*w.values(), 1000 - sum(w.values())]) / 1000 for k, w in quality_rules.COMMON_WORDS.items()}
-    en = quality_rules.COMMON_WORDS["en"]
-    text = " ".join(w for w, n in en.items() for _ in range(n)) + " filler" * round(1000 * shares["en"][-1])
-    docs = spark.createDataFrame([(0, text), (1, "zq%% " * 100)], "doc_id long, text string")
+    """Counts, distances, the nearest language and the length guard against a plain computation."""
+    rng = random.Random(17)
+    langs = list(quality_rules.COMMON_WORDS)
+    texts = []
+    for k in range(60):
+        common = list(quality_rules.COMMON_WORDS[langs[k % 4]])
+        texts.append(" ".join(rng.choice([*common, "Étude", "größe", "Zahl7", "niño,", "x#%", "plain", "word."]) for _ in range(rng.choice([60, 99, 100, 150, 400]))))
+    english = [x for x, n in quality_rules.COMMON_WORDS["en"].items() for _ in range(n)]
+    texts += [" ".join(english + ["filler"] * 700), "zq%% " * 150]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     p = pdf(quality_rules.quality_rules(docs, max_repeat_percent=100), "doc_id")
-    assert not p.kept[1]
 
     def js(p, q):
         m = (p + q) / 2
         kl = lambda x: (x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()
         return np.sqrt((kl(p) + kl(q)) / 2)
 
-    assert p.word_distance[0] == pytest.approx(0, abs=1e-6)
-    none = {k: np.eye(len(q))[-1] for k, q in shares.items()}
-    assert p.word_distance[1] == pytest.approx(min(js(none[k], q) for k, q in shares.items()))
-    chars = np.array(list(quality_rules.CHARACTERS.values())) / sum(quality_rules.CHARACTERS.values())
-    assert p.char_distance[1] == pytest.approx(js(np.array([2, 0, 1, 0, 0, 2]) / 5, chars))
+    def kind(c):
+        if re.fullmatch("[ß-öø-ÿœ]", c):
+            return "accent"
+        if c.isupper():
+            return "upper"
+        return "space" if c.isspace() else "digit" if c.isdigit() else "letter" if c.isalpha() else "mark" if c in ".,;:!?'\"()-" else "symbol"
+
+    for t, r in zip(texts, p.itertuples()):
+        w = t.split()
+        if len(w) < 100:
+            assert r.language is None and np.isnan(r.word_distance) and r.kept
+            continue
+        have = Counter(x.lower() for x in w)
+        chars, best = Counter(map(kind, t)), None
+        for k in langs:
+            words_ = quality_rules.COMMON_WORDS[k]
+            n = [have[x] for x in words_]
+            a = js(np.array([*n, len(w) - sum(n)]) / len(w), np.array([*words_.values(), 1000 - sum(words_.values())]) / 1000)
+            q = quality_rules.CHARACTERS[k]
+            b = js(np.array([chars[x] for x in q]) / len(t), np.array(list(q.values())) / sum(q.values()))
+            if best is None or a + b < best[0] - 1e-9:
+                best = a + b, k, a, b
+        assert (r.language, r.word_distance, r.char_distance) == (best[1], pytest.approx(best[2]), pytest.approx(best[3]))
+        assert r.kept == (best[0] <= 0.5)
+    assert not p.kept.iloc[-1] and {k for k in langs} <= set(p.language.dropna())
+
+
+def test_clean_documents_pass_the_rules(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    p = quality_rules.quality_rules(docs).join(labels, "doc_id").where("not base_failed").toPandas()
+    assert p[p.quality == 1].kept.mean() == 1 and p[p.quality == 0].kept.mean() < 0.25
 
 
 # queries and the pipeline
