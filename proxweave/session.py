@@ -69,6 +69,10 @@ def small_enough(df: DataFrame, max_bytes: int) -> bool:
     return int(str(size)) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast if the estimated size allows it; beyond that a sort-merge join, which AQE can split by skew."""
+def broadcast_if_small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast if the estimated size allows it; beyond that a sort-merge join, which AQE can split by skew.
+
+    The estimate of a stored table is that of its compressed files; in memory it takes several times
+    as much, so the bound is well under what an executor can hold.
+    """
     return F.broadcast(df) if small_enough(df, max_bytes) else df.hint("merge")
