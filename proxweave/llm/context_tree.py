@@ -7,10 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 
 EDGE = 0xFF  # stands before the first byte and after the last; never occurs in UTF-8
 END = b" "  # the end token: no word holds a space
@@ -114,24 +114,23 @@ class Subtree:
         """log10 probability of each gram's byte. ``top``: (zeros, ones, ln ratio) by place, for depths TOP - 1 to 0.
 
         From the deepest context up, a node's estimate is mixed with what its child says in proportion
-        to their probabilities of the training text; a context never seen leaves it to its parent.
+        to their probabilities of the training text; a context never seen says one half.
         """
-        p = seen = index = None
-        place = None
+        p = index = None
         for up, zeros, ones, ratio in self.levels:
             index = up if index is None else up[index]
-            p, seen = self._mix(p, seen, zeros[index], ones[index], None if ratio is None else ratio[index])
+            p = self._mix(p, zeros[index], ones[index], None if ratio is None else ratio[index])
         place = self.place[index]
         for zeros, ones, ratio in top:
-            p, seen = self._mix(p, seen, zeros[place], ones[place], ratio[place])
+            p = self._mix(p, zeros[place], ones[place], ratio[place])
         return np.log10(p).reshape(-1, 8).sum(1)
 
-    def _mix(self, p, seen, zeros, ones, ratio):
+    def _mix(self, p, zeros, ones, ratio):
         kt = (np.where(self.bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-        if p is not None:
-            w = 1 / (1 + np.exp(-np.clip(ratio, -700, 700)))
-            kt = np.where(seen, w * kt + (1 - w) * p, kt)
-        return kt, zeros + ones > 0
+        if p is None:
+            return kt
+        w = 1 / (1 + np.exp(-np.clip(ratio, -700, 700)))
+        return w * kt + (1 - w) * p
 
 
 def tree_log_probabilities(counts: DataFrame, depth: int) -> DataFrame:
@@ -192,18 +191,24 @@ def block_dictionary(blocks: DataFrame, depth: int) -> DataFrame:
             queues[train].clear()
             waiting[train] = 0
 
-        for t, out in zip(table.column("t"), table.column("held_out")):
+        for t, out, copies in zip(table.column("t"), table.column("held_out"), table.column("copies").to_pylist()):
             text, train = t.as_py() or b"", not out.as_py()
             g = grams(text, depth)
             for i in range(0, len(g), CHUNK):
+                if train and copies > 1:
+                    keys, sums = add_counts(keys, sums, g[i : i + CHUNK], copies)
+                    continue
                 queues[train].append(g[i : i + CHUNK])
                 waiting[train] += len(queues[train][-1])
                 if waiting[train] >= CHUNK:
                     merge(train)
             tokens = text.lower().split()
             if train:
-                words.update(tokens)
-                words[END] += 1
+                for w, n in Counter([*tokens, END]).items() if copies > 1 else ():
+                    words[w] += n * copies
+                if copies == 1:
+                    words.update(tokens)
+                    words[END] += 1
             else:
                 also.update(tokens)
         merge(False)
@@ -220,7 +225,21 @@ def block_dictionary(blocks: DataFrame, depth: int) -> DataFrame:
             }
         )
 
-    return blocks.select("block", "held_out", "t").groupBy("block").applyInArrow(run, "block int, gram long, word binary, n long")
+    return blocks.select("block", "held_out", "copies", "t").groupBy("block").applyInArrow(run, "block int, gram long, word binary, n long")
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` of (id, held_out, t) with ``copies``: rows equal in id and text are one, so that they fill no block by themselves."""
+    same = ["id", "held_out", "th"]
+    marked = rows.withColumn("th", F.xxhash64("t"))
+    twice = materialize(marked.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated-rows")
+    if not twice.take(1):
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    match = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in same]
+    keys = broadcast_if_small(twice.select(*[F.col(c).alias(f"__{c}") for c in same]))
+    once = marked.join(keys, match, "left_anti").select(*rows.columns, F.lit(1).cast("long").alias("copies"))
+    many = marked.join(keys, match, "left_semi").groupBy(*same).agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("copies"))
+    return once.unionByName(many.select(*rows.columns, "copies"))
 
 
 def context_tree_scores(
@@ -244,40 +263,29 @@ def context_tree_scores(
     entry, where whole texts are summed up. A frequent gram or word is thus one row a block.
 
     A null text counts as empty: one token, the end. Null ids learn and score like others. Repeated
-    rows stay; rows equal in id and text share a block. An empty table gives an empty result; other
-    columns are ignored.
+    rows stay, but are counted and scored as one. An empty table gives an empty result; other columns
+    are ignored.
     """
     if not TOP <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
     text = F.col(text_col).cast("binary")
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    blocks = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n_blocks)).cast("int").alias("block"),
-        text.alias("t"),
-    )
+    rows = with_copies(docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("t")))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)).cast("int"))
     listed = materialize(block_dictionary(blocks, depth), "block-dictionary")
 
-    by_word = Window.partitionBy("word")
-    words = materialize(
-        listed.where("word is not null").select(
-            "block",
-            "word",
-            F.sum("n").over(by_word).alias("c"),
-            (F.col("block") == F.min("block").over(by_word)).alias("first"),
-        ),
-        "word-counts",
-    )
-    row = words.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    listed_words = listed.where("word is not null").select("block", "word", "n")
+    words = materialize(listed_words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    row = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, vocabulary = int(row["n"] or 0), int(row["v"])
+    known_words = listed_words.select("block", "word").join(words, "word")
 
     listed_grams = listed.where("gram is not null").select("block", "gram", "n")
     counts = materialize(listed_grams.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     values = listed_grams.select("block", "gram").join(tree_log_probabilities(counts, depth), "gram")
     answers = values.select("block", "gram", F.lit(None).cast("binary").alias("word"), "v").unionByName(
-        words.select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("v"))
+        known_words.select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("v"))
     )
     scale = float(n_train + vocabulary + 1)
     kind = blocks.schema["id"].dataType.simpleString()
@@ -301,14 +309,15 @@ def context_tree_scores(
         names = ["n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table(
-            {"id": left.column("id"), "held_out": left.column("held_out")} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)}
+            {"id": left.column("id"), "held_out": left.column("held_out"), "copies": left.column("copies")} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)}
         )
 
     out = (
         blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+        .applyInArrow(score, f"id {kind}, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     )
-    return out.select(
+    each = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte"
     )

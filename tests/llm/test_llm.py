@@ -660,12 +660,11 @@ def brute_tree(train, text, depth):
                 c = ctx[depth - d :]
                 a, n = counts[c, place, bit], counts[c, place, 0] + counts[c, place, 1]
                 own = (a + 0.5) / (n + 1)
-                if prob is None or not seen:  # noqa: F821
+                if prob is None:
                     prob = own
                 else:
                     w = 1 / (1 + np.exp(-(kt(c, place) - sum(weighted(*x) for x in kids.get((c, place), [])))))
                     prob = w * own + (1 - w) * prob
-                seen = n > 0
             total += np.log10(prob)
     return total
 
@@ -688,6 +687,17 @@ def test_context_tree(spark, block_bytes):
         assert p.base_score[i] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in toks))
 
 
+def test_repeated_and_long_texts_score_as_one(spark):
+    rows = [(1, "the cat sat on the mat")] * 7 + [(1, "another text"), (None, "the cat")] + [(None, "the cat")] * 2 + [(2, "x" * 300_000)]
+    p = ct.context_tree_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 2, depth=2).toPandas()
+    assert len(p) == len(rows) and (p.train_tokens == 7 * 7 + 3 + 3 * 3).all()
+    train = [t.encode() for i, t in rows if i != 2]
+    for i, n, t in ((1, 7, "the cat sat on the mat"), (1, 1, "another text"), (None, 3, "the cat")):
+        mine = p[(p.doc_id.isna() if i is None else p.doc_id == i) & (p.n_tokens == len(t.split()) + 1)]
+        assert len(mine) == n and np.allclose(mine.score, brute_tree(train, t.encode(), 2), atol=1e-6)
+    assert np.isfinite(p.score).all()
+
+
 def test_bits_sum_to_one(spark):
     g = np.arange(256) | (int.from_bytes(b"ab", "big") << 8)
     n = np.where(np.arange(256) % 7 == 0, 3, 0)
