@@ -503,16 +503,42 @@ def brute_hits(text, items, n=10):
 def test_decontamination(spark, limit):
     rng = random.Random(6)
     word = lambda: rng.choice("aa bb cc dd ee ff É".split())
-    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 14])))) for i in range(12)] + [(1, "AA bb."), (50, None)]
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 14])))) for i in range(12)] + [(1, "AA bb."), (50, None), (None, "gg hh"), (None, "hh gg gg")]
     texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(30)]
     texts += [f"pre, {t}! post {t}" for _, t in items if t]
-    docs = list(enumerate(texts)) + [(0, texts[0]), (900, None), (901, "")]
+    texts.append(" ".join(word() for _ in range(20_000)) + " gg hh gg gg")
+    docs = list(enumerate(texts)) + [(0, texts[0]), (900, None), (901, ""), (None, "GG-hh"), (None, "GG-hh"), (None, "hh gg")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in dc.decontaminate(d, b, broadcast_bytes=limit).collect())
     assert got == Counter((i, *brute_hits(t, items)) for i, t in docs)
 
 
+def test_words_are_shuffled_without_their_documents(spark):
+    """Beyond a broadcast, no exchange carries a document's word list beside each of its words."""
+    word = lambda i: f"w{i * 7919 % 5003}"
+    long = " ".join(word(i) for i in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, " ".join(word(i) for i in range(500, 520)))], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(word(i) for i in range(k * 500, k * 500 + 14))) for k in range(8)], "item_id long, text string")
+    seen = []
+    real = dc.materialize
+
+    def spy(df, label="table"):
+        seen.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, label)
+
+    dc.materialize = spy
+    try:
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in dc.decontaminate(docs, items, broadcast_bytes=0).collect()}
+    finally:
+        dc.materialize = real
+    assert got == {i: brute_hits(t, [tuple(r) for r in items.collect()])[:2] for i, t in docs.collect()}
+    plan = dict(seen)["candidates"]
+    generate = next(x for x in plan.split("\n") if "Generate posexplode" in x)
+    above = plan[: plan.index(generate)].strip().split("\n")[-1]
+    assert "pos#" in above and not re.search(r"(?:\[|, )w#\d+", above)
+
+
 def test_decontamination_odd(spark, odd, empty):
     b = spark.createDataFrame([(1, "two words"), (2, "")], "item_id long, text string")
     p = dc.decontaminate(odd, b).toPandas()
