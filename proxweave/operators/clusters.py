@@ -229,8 +229,3 @@ def pairwise_matrix(runs: dict[str, DataFrame], kind: str) -> DataFrame:
                 v = c.select(F.when(u > 0, F.col("common_edges") / u).otherwise(0.0).alias("value"))
             out.append(v.select(F.lit(a).alias("run1"), F.lit(b).alias("run2"), "value"))
     return reduce(DataFrame.unionByName, out)
-
-
-def ranked_within(df: DataFrame, key: str, order: list) -> DataFrame:
-    """``df`` with ``rank`` 1.. inside each key."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -22,20 +22,42 @@ def _matrix(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[np.ndarray,
     return ids.to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
+def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    diff = a - b
+    return np.sqrt((diff * diff).sum(-1)) if metric == "euclidean" else np.abs(diff).sum(-1)
+
+
 def _nearest(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, k: int, metric: str):
-    """Positions and distances of the ``k`` nearest rows of ``b`` for each of ``a``, itself excluded; ties by id."""
+    """``(row of a, row of b, distance)``: the ``k`` nearest rows of ``b`` for each of ``a``, itself excluded; ties by id.
+
+    Rough distances select candidates: all up to the k-th and a bound of the rounding error. Exact ones
+    then decide. However many tie, none is left out.
+    """
     if metric == "euclidean":
-        rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        norm_a, norm_b = (a * a).sum(1), (b * b).sum(1)
+        rough = norm_a[:, None] + norm_b[None, :] - 2 * a @ b.T
+        slack = 1e-12 * (1 + a.shape[1]) * (norm_a + norm_b.max(initial=0.0))
     else:
         rough = np.stack([np.abs(b - x).sum(1) for x in a])
+        slack = np.zeros(len(a))
     rough[ids_a[:, None] == ids_b[None, :]] = np.inf
     take = min(k + SPARE, len(ids_b))
     at = np.argpartition(rough, take - 1, axis=1)[:, :take]
-    diff = a[:, None, :] - b[at]
-    exact = np.sqrt((diff * diff).sum(2)) if metric == "euclidean" else np.abs(diff).sum(2)
-    exact[np.take_along_axis(rough, at, 1) == np.inf] = np.inf
+    near = np.take_along_axis(rough, at, 1)
+    limit = np.partition(near, min(k, take) - 1, axis=1)[:, min(k, take) - 1] + slack
+    exact = _exact(a[:, None, :], b[at], metric)
+    exact[near == np.inf] = np.inf
     order = np.lexsort((ids_b[at], exact), axis=1)[:, :k]
-    return np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+    at, exact = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+    row = np.repeat(np.arange(len(a)), at.shape[1]).reshape(at.shape)
+    crowded = np.isfinite(limit) & ((rough <= limit[:, None]).sum(1) > take)
+    out = [(row[~crowded].ravel(), at[~crowded].ravel(), exact[~crowded].ravel())]
+    for i in np.nonzero(crowded)[0]:  # more ties than were kept
+        some = np.nonzero(rough[i] <= limit[i])[0]
+        d = _exact(a[i], b[some], metric)
+        best = np.lexsort((ids_b[some], d))[:k]
+        out.append((np.full(len(best), i), some[best], d[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _pack(vectors: DataFrame, block: str) -> DataFrame:
@@ -57,10 +79,9 @@ def _block_top(pairs: DataFrame, k: int, metric: str) -> DataFrame:
             for row in b.to_pylist():
                 ia, ib = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ids2"], np.int64)
                 ma, mb = (np.frombuffer(row[c]).reshape(len(i), -1) for c, i in (("m", ia), ("m2", ib)))
-                at, d = _nearest(ma, mb, ia, ib, k, metric)
-                src, dst, d = np.repeat(ia, at.shape[1]), ib[at].ravel(), d.ravel()
+                i, j, d = _nearest(ma, mb, ia, ib, k, metric)
                 ok = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(dst[ok]), pa.array(d[ok])], names=["src", "dst", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ia[i[ok]]), pa.array(ib[j[ok]]), pa.array(d[ok])], names=["src", "dst", "distance"])
 
     return pairs.mapInArrow(run, TOP)
 
@@ -98,10 +119,13 @@ def ivf_cells(n: int) -> int:
     return max(1, min(2 ** round(math.log2(max(1024, 4 * math.sqrt(max(n, 1))))), n // 8 or 1))
 
 
-def knn_ivf(vectors: DataFrame, k: int, *, cells: int | None = None, probes: int = 64, fit_rows: int = 50_000, seed: int = 42) -> DataFrame:
+def knn_ivf(
+    vectors: DataFrame, k: int, metric: str = "euclidean", *, cells: int | None = None, probes: int = 64, fit_rows: int = 50_000, seed: int = 42
+) -> DataFrame:
     """Approximate ``(src, dst, distance, rank)``: every row is indexed in its nearest cell and queried in ``probes`` cells.
 
-    Centres are fitted by k-means on at most ``fit_rows`` rows chosen by hash. Cells larger than a
+    Centres are fitted by k-means on at most ``fit_rows`` rows chosen by hash; cells are Euclidean, distances within them of
+    the ``metric``. Cells larger than a
     block are split, and every part of a cell meets every query of that cell, so no bucket is capped.
     """
     n = vectors.count()
@@ -109,7 +133,9 @@ def knn_ivf(vectors: DataFrame, k: int, *, cells: int | None = None, probes: int
     cut = min(1.0, fit_rows / max(n, 1))
     sample = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(cut * (1 << 30))).select("v").toArrow()
     if not sample.num_rows:
-        return knn_exact(vectors, k)
+        return knn_exact(vectors, k, metric)
+    if metric not in ("euclidean", "manhattan"):
+        raise ValueError(f"unknown metric {metric!r}")
     v = sample.column("v").combine_chunks()
     x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
     rng = np.random.default_rng(seed)
@@ -137,7 +163,7 @@ def knn_ivf(vectors: DataFrame, k: int, *, cells: int | None = None, probes: int
     data = _pack(routed.select("id", "v", (F.col("near")[0] * parts + part).alias("b")), "b").select(F.floor(F.col("block") / parts).cast("int").alias("cell"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
     asked = routed.select("id", "v", F.explode("near").alias("cell"))
     asked = _pack(asked.select("id", "v", (F.col("cell") * parts + part).alias("b")), "b").select(F.floor(F.col("block") / parts).cast("int").alias("cell"), "ids", "m")
-    return _top(_block_top(asked.join(data, "cell").select("ids", "m", "ids2", "m2"), k, "euclidean").distinct(), k)
+    return _top(_block_top(asked.join(data, "cell").select("ids", "m", "ids2", "m2"), k, metric).distinct(), k)
 
 
 def knn(vectors: DataFrame, k: int, *, method: str = "auto", exact_rows: int | None = None, **options) -> DataFrame:

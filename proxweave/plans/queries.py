@@ -112,9 +112,10 @@ def knn_manhattan(spark, sf):
     return knn_exact(vectors(spark, sf), 10, "manhattan").select("src", "dst", r6("distance"))
 
 
-@query()
+# on tables so small, the default probes reach every cell, so that the neighbours are the exact ones
+@query(G + " SELECT src, dst, round(d, 6) AS distance FROM k")
 def knn_approximate(spark, sf):
-    return knn_ivf(vectors(spark, sf), 10, cells=16, probes=8).select("src", "dst", "distance")
+    return knn_ivf(vectors(spark, sf), 10).select("src", "dst", r6("distance"))
 
 
 MANH = G + ", w AS (SELECT e.src, e.dst, e.weight AS euclid_dist, list_sum(list_transform(list_zip(a.x, c.x), lambda t: abs(t[1] - t[2]))) AS weight FROM e JOIN v a ON a.id = e.src JOIN v c ON c.id = e.dst)"
@@ -286,18 +287,18 @@ def polished_edges(spark, sf):
 
 @query()
 def refined_graph(spark, sf):
-    return R.refine(fixed_graph(spark, sf), features(spark, sf), iterations=2, max_new_edges=500)[0]
+    return R.refine(fixed_graph(spark, sf), features(spark, sf), max_new_edges="all")[0]
 
 
 @query()
 def refine_history(spark, sf):
-    return R.refine(fixed_graph(spark, sf), features(spark, sf), iterations=2, max_new_edges=500)[1]
+    return R.refine(fixed_graph(spark, sf), features(spark, sf), max_new_edges="all")[1]
 
 
 @query()
 def build_and_refine(spark, sf):
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return build_graph(nodes, iterations=1).graph.edges
+    return build_graph(nodes, max_new_edges="all").graph.edges
 
 
 def forest_sql(k: int) -> str:
@@ -765,11 +766,6 @@ def neighbor_arrays(spark, sf):
     return a.select("id", real.alias("real"), F.size("distances").cast("long").alias("size"), F.col("neighbors")[11].alias("last"), F.round(F.col("distances")[11], 6).alias("far"))
 
 
-@query()
-def padded_low_degree(spark, sf):
-    return L.pad_low_degree(_short(spark, sf), ids(spark, sf), 3)
-
-
 @query()
 def connected_by_representatives(spark, sf):
     return L.connect_components(_short(spark, sf), ids(spark, sf), vectors(spark, sf))
@@ -817,8 +813,11 @@ def communities_warm_started(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import more_queries  # noqa: F401  # registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -15,11 +15,14 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests, a laptop) a
-    local temporary folder is made and remembered in the session.
+    ``spark.checkpoint.dir`` names it, and must on a cluster. Only where that is unset and the master is
+    local (tests, a laptop) a temporary folder is made and remembered in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="proxweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
