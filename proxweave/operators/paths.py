@@ -105,10 +105,26 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, source: int, targets: lis
     return cur.select("target", F.coalesce("dist", F.lit(float("inf"))).alias("distance"), "path")
 
 
+def reaches(edges: DataFrame, nodes: DataFrame, *, local_edges: int = LOCAL_EDGES, **options) -> DataFrame:
+    """``(id, total, farthest)``: sum and maximum of each node's distances to those it reaches; one row a node leaves a task."""
+    adj = local_adjacency(edges, local_edges)
+    if adj is None:
+        d = distances(edges, nodes, local_edges=0, **options)
+        return d.groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("total"), F.max("dist").alias("farthest"))
+    shared = nodes.sparkSession.sparkContext.broadcast(adj)
+
+    def run(batches):
+        for b in batches:
+            found = [list(dijkstra(shared.value, s)[0].values()) for s in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(sum(x)) for x in found]), pa.array([float(max(x)) for x in found])], names=["id", "total", "farthest"])
+
+    return nodes.select(F.col("id").cast("long").alias("id")).repartition("id").mapInArrow(run, "id long, total double, farthest double")
+
+
 def closeness(edges: DataFrame, nodes: DataFrame, normalized: bool = True, **options) -> DataFrame:
     """``(id, centrality)``: (n - 1) over the summed distances to reachable nodes, by the largest; 0 without any."""
     n = nodes.count()
-    d = distances(edges, nodes, **options).groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("s"))
+    d = reaches(edges, nodes, **options).select("id", F.col("total").alias("s"))
     c = nodes.select("id").join(d, "id", "left").select("id", F.when(F.col("s") > 0, (n - 1) / F.col("s")).otherwise(0.0).alias("centrality"))
     if not normalized:
         return c
@@ -226,7 +242,7 @@ def central_nodes(edges: DataFrame, nodes: DataFrame, k: int = 10, measure: str
 def diameters(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     """``(component, size, diameter)``: the largest finite distance inside each component."""
     labels = materialize(component_labels(nodes, edges), "labels")
-    far = distances(edges, nodes, **options).groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("far"))
+    far = reaches(edges, nodes, **options).select("id", F.col("farthest").alias("far"))
     return labels.join(far, "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.max("far"), F.lit(0.0)).alias("diameter"))
 
 

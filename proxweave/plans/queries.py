@@ -298,7 +298,7 @@ def refine_history(spark, sf):
 @query()
 def build_and_refine(spark, sf):
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return build_graph(nodes, max_new_edges="all").graph.edges
+    return build_graph(nodes).graph.edges
 
 
 def forest_sql(k: int) -> str:

@@ -26,3 +26,13 @@ def test_betweenness_takes_every_source(spark):
     assert got.keys() == on.keys() and np.allclose([got[k] for k in on], [v / (n * (n - 1) / 2) for v in on.values()])
     nodes = {r["id"]: r["centrality"] for r in Q.betweenness_centrality(spark, SF).collect()}
     assert np.allclose([nodes[i] for i in through], [v / ((n - 1) * (n - 2)) for v in through.values()])
+
+
+def test_sums_of_distances_are_the_same_both_ways(spark):
+    from proxweave.operators.paths import reaches
+
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.5), (1, 3, 4.0), (5, 6, 0.5)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 6, 9)], "id long")
+    want = {1: (4.5, 3.5), 2: (3.5, 2.5), 3: (6.0, 3.5), 5: (0.5, 0.5), 6: (0.5, 0.5), 9: (0.0, 0.0)}
+    for limit in (100, 0):
+        assert {r["id"]: (r["total"], r["farthest"]) for r in reaches(edges, nodes, local_edges=limit).collect()} == want
