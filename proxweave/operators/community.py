@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import warnings
-from collections import defaultdict
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,28 +55,31 @@ def least_member(labels: DataFrame) -> DataFrame:
     return labels.join(low, "label").select("id", F.col("low").alias("label"))
 
 
+def _strengths(edges: DataFrame, loops: DataFrame | None, nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Edges in both directions, ``(id, k)`` with the summed weight of each node, and their total."""
+    arms = materialize(both_ways(edges.where("src != dst").select("src", "dst", "weight")), "arms")
+    own = arms.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    if loops is not None:
+        own = own.unionByName(loops.select("id", (2 * F.col("weight")).alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
+    k = materialize(nodes.select("id").join(own, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")), "strengths")
+    return arms, k, k.agg(F.sum("k")).first()[0] or 0.0
+
+
 def local_moving(
-    edges: DataFrame, loops: DataFrame | None, nodes: DataFrame, resolution: float, max_rounds: int, initial: DataFrame | None = None
+    arms: DataFrame, k: DataFrame, two_m: float, resolution: float, max_rounds: int, initial: DataFrame | None = None
 ) -> DataFrame:
     """``(id, label)``: synchronous moves to the neighbouring community of the greatest modularity gain.
 
-    Gain of a move: weight into it less ``resolution * degree * volume / 2m``, against staying. Each
-    round a hashed half of the nodes may move, and a community takes part in one direction only, so
-    that two nodes don't swap.
+    Gain of a move: weight into it less ``resolution * degree * volume / 2m``, against staying, to nine
+    places, so that the order of a sum decides nothing; ties by the least label. Each round a hashed
+    half of the nodes may move, and a community takes part in one direction only, so that two nodes
+    don't swap.
     """
-    arms = materialize(both_ways(edges.select("src", "dst", "weight")), "arms")
-    own = arms.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-    if loops is not None:
-        own = own.unionByName(loops.select("id", (2 * F.col("weight")).alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
-    k = materialize(nodes.select("id").join(own, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")), "strengths")
-    two_m = k.agg(F.sum("k")).first()[0] or 0.0
     start = k.select("id", "k", F.col("id").alias("label"))
     if initial is not None:
         warm = least_member(initial).withColumnRenamed("label", "warm")
         start = start.join(warm, "id", "left").select("id", "k", F.coalesce("warm", "label").alias("label"))
     cur = materialize(start, "labels")
-    if two_m <= 0:
-        return cur.select("id", "label")
     still = 0
     for r in range(max_rounds):
         vol = cur.groupBy("label").agg(F.sum("k").alias("vol"))
@@ -85,11 +90,11 @@ def local_moving(
         gain = F.col("w") - resolution * F.col("k") * (F.col("vol") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0.0)) / two_m
         best = (
             options.join(me, "id")
-            .withColumn("gain", gain)
+            .withColumn("gain", F.round(gain, 9))
             .groupBy("id", "k", "old")
             .agg(F.max_by("label", F.struct("gain", -F.col("label"))).alias("new"), F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("base"))
         )
-        turn = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) & (F.col("top") > F.col("base") + 1e-12)
+        turn = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) & (F.col("top") > F.col("base"))
         down = F.lit(r % 4 < 2) == (F.col("new") < F.col("old"))
         nxt = materialize(best.select("id", "k", F.when(turn & down, F.col("new")).otherwise(F.col("old")).alias("label"), "old"), "labels")
         changed = nxt.where("label != old").count()
@@ -100,6 +105,46 @@ def local_moving(
     return cur.select("id", "label")
 
 
+def refining(arms: DataFrame, k: DataFrame, two_m: float, labels: DataFrame, resolution: float, max_rounds: int) -> DataFrame:
+    """``(id, label)``: each community of ``labels`` built anew from single nodes, as connected parts.
+
+    A node that is still alone and well connected to its community joins the part of it, itself well
+    connected, that gains most, if that gains at all. Well connected: the weight to the rest of the
+    community is ``resolution`` times what chance expects, or more. In each round a hashed half of the
+    nodes may move and only into parts that stay, so a part is always connected.
+    """
+    cell = k.join(labels.select("id", F.col("label").alias("s")), "id")
+    vol_s = cell.groupBy("s").agg(F.sum("k").alias("vol_s"))
+    side = lambda end: cell.select(F.col("id").alias(end), F.col("s").alias(f"s_{end}"))
+    inside = materialize(arms.join(side("src"), "src").join(side("dst"), "dst").where("s_src = s_dst").select("src", "dst", "weight"), "inside")
+    own = inside.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("e"))
+    expected = lambda v: resolution * F.col(v) * (F.col("vol_s") - F.col(v)) / two_m
+    well = F.round(F.coalesce("e", F.lit(0.0)) - expected("k"), 9) >= 0
+    base = materialize(cell.join(vol_s, "s").join(own, "id", "left").select("id", "k", "s", "vol_s", well.alias("well")), "refining")
+    cur = materialize(base.select("*", F.col("id").alias("ref")), "refined")
+    still = 0
+    for r in range(max_rounds):
+        bit = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0  # noqa: B023, E731
+        parts = cur.groupBy(F.col("ref").alias("part")).agg(F.count(F.lit(1)).alias("size"), F.sum("k").alias("vol"), F.first("vol_s").alias("vol_s"))
+        a, b = cur.select(F.col("id").alias("src"), F.col("ref").alias("part")), cur.select(F.col("id").alias("dst"), F.col("ref").alias("other"))
+        across = inside.join(a, "src").join(b, "dst").where("part != other")
+        out = across.groupBy("part").agg(F.sum("weight").alias("e"))
+        sizes = materialize(parts.join(out, "part", "left").withColumn("ok", F.round(F.coalesce("e", F.lit(0.0)) - expected("vol"), 9) >= 0), "parts")
+        movers = cur.join(sizes.where("size = 1").select(F.col("part").alias("ref")), "ref", "left_semi").where(F.col("well") & bit("id")).select("id", "k")
+        targets = sizes.where(F.col("ok") & ((F.col("size") > 1) | ~bit("part"))).select(F.col("part").alias("other"), "vol")
+        options = across.groupBy(F.col("src").alias("id"), "other").agg(F.sum("weight").alias("w")).join(movers, "id").join(targets, "other")
+        gain = F.round(F.col("w") - resolution * F.col("k") * F.col("vol") / two_m, 9)
+        best = options.withColumn("gain", gain).where("gain > 0").groupBy("id").agg(F.max_by("other", F.struct("gain", -F.col("other"))).alias("to"))
+        best = materialize(best, "moves")
+        changed = best.count()
+        if changed:
+            cur = materialize(cur.join(best, "id", "left").select(*base.columns, F.coalesce("to", "ref").alias("ref")), "refined")
+        still = still + 1 if not changed else 0
+        if still == 4:
+            break
+    return cur.select("id", F.col("ref").alias("label"))
+
+
 def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``(id, label)``: communities cut into their connected parts, each named by its least member."""
     lab = labels.select("id", "label")
@@ -112,70 +157,91 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return component_roots(lab, inside).select("id", F.col("root").alias("label"))
 
 
-def _local_louvain(
-    pairs: list[tuple[int, int, float]], ids: list[int], resolution: float, refine: bool, max_levels: int, initial: dict[int, int] | None = None
-) -> dict[int, int]:
-    """The same optimisation on the driver for graphs of a bounded size: sequential moves in id order."""
-    member = {i: i for i in ids}
-    edges = [(a, b, w) for a, b, w in pairs]
-    loops: dict[int, float] = defaultdict(float)
-    nodes = sorted(ids)
+def _halves(ids: np.ndarray, r: int) -> np.ndarray:
+    """Whose turn it is in round ``r``: the same hash as in the DataFrame rounds."""
+    last = struct.pack("<i", r)
+    return np.array([xxhash.xxh64_intdigest(last, xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) % 2 == 0 for i in ids.tolist()], dtype=bool)
+
+
+def _sums(node: np.ndarray, label: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, at = np.unique(node * n + label, return_inverse=True)
+    return key // n, key % n, np.bincount(at, w, len(key))
+
+
+def _first_best(node: np.ndarray, label: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Places of each node's greatest gain, of equal ones the least label."""
+    order = np.lexsort((label, -gain, node))
+    return order[np.append(True, node[order][1:] != node[order][:-1])] if len(order) else order
+
+
+def _moving_here(src, dst, w, ids, k, two_m, resolution, max_rounds, label) -> np.ndarray:
+    """:func:`local_moving` in arrays; nodes and labels are places in ``ids``, which ascend."""
+    n, still, every = len(ids), 0, np.arange(len(ids))
+    for r in range(max_rounds):
+        vol = np.bincount(label, k, n)
+        node, lab, total = _sums(np.append(src, every), np.append(label[dst], label), np.append(w, np.zeros(n)), n)
+        at_home = lab == label[node]
+        gain = np.round(total - resolution * k[node] * (vol[lab] - np.where(at_home, k[node], 0.0)) / two_m, 9)
+        best = _first_best(node, lab, gain)  # one a node, in their order
+        new, top, base = lab[best], gain[best], gain[at_home]
+        move = _halves(ids, r) & (top > base) & ((r % 4 < 2) == (new < label))
+        still = 0 if (move & (new != label)).any() else still + 1
+        label = np.where(move, new, label)
+        if still == 4:
+            break
+    return label
+
+
+def _refining_here(src, dst, w, ids, k, two_m, label, resolution, max_rounds) -> np.ndarray:
+    """:func:`refining` in arrays."""
+    n, still = len(ids), 0
+    inside = label[src] == label[dst]
+    src, dst, w = src[inside], dst[inside], w[inside]
+    vol_s = np.bincount(label, k, n)[label]
+    well = np.round(np.bincount(src, w, n) - resolution * k * (vol_s - k) / two_m, 9) >= 0
+    ref = np.arange(n)
+    for r in range(max_rounds):
+        bit = _halves(ids, r)
+        size, vol = np.bincount(ref, minlength=n), np.bincount(ref, k, n)
+        across = ref[src] != ref[dst]
+        ok = np.round(np.bincount(ref[src[across]], w[across], n) - resolution * vol * (vol_s - vol) / two_m, 9) >= 0
+        target = ok & ((size > 1) | ((size == 1) & ~bit))
+        use = across & (size[ref[src]] == 1) & well[src] & bit[src] & target[ref[dst]]
+        node, lab, total = _sums(src[use], ref[dst[use]], w[use], n)
+        gain = np.round(total - resolution * k[node] * vol[lab] / two_m, 9)
+        node, lab, gain = node[gain > 0], lab[gain > 0], gain[gain > 0]
+        best = _first_best(node, lab, gain)
+        ref[node[best]] = lab[best]
+        still = 0 if len(best) else still + 1
+        if still == 4:
+            break
+    return ref
+
+
+def _communities_here(src, dst, w, ids, resolution: float, refine: bool, max_levels: int, max_rounds: int, initial: np.ndarray | None) -> np.ndarray:
+    """The levels of :func:`_distributed_louvain` in arrays: the same rounds, and so the same communities."""
+    member, loops, n = np.arange(len(ids)), np.zeros(len(ids)), len(ids)
+    label = np.arange(n) if initial is None else initial
     for _ in range(max_levels):
-        adj: dict[int, dict[int, float]] = {i: {} for i in nodes}
-        for a, b, w in edges:
-            adj[a][b] = adj[a].get(b, 0.0) + w
-            adj[b][a] = adj[b].get(a, 0.0) + w
-        k = {i: sum(adj[i].values()) + 2 * loops[i] for i in nodes}
-        two_m = sum(k.values())
+        k = np.bincount(src, w, n) + np.bincount(dst, w, n) + 2 * loops
+        two_m = k.sum()
         if two_m <= 0:
             break
-        lab = {i: i for i in nodes} if initial is None else {i: initial.get(i, i) for i in nodes}
-        initial = None
-        vol: dict[int, float] = defaultdict(float)
-        for i in nodes:
-            vol[lab[i]] += k[i]
-        moved = True
-        for _ in range(100):
-            moved = False
-            for i in nodes:
-                into: dict[int, float] = defaultdict(float)
-                for j, w in adj[i].items():
-                    into[lab[j]] += w
-                old = lab[i]
-                vol[old] -= k[i]
-                score = lambda c, i=i, into=into: into.get(c, 0.0) - resolution * k[i] * vol[c] / two_m
-                best = min(into, key=lambda c: (-score(c), c), default=old)
-                if score(best) <= score(old) + 1e-12:
-                    best = old
-                vol[best] += k[i]
-                if best != old:
-                    lab[i], moved = best, True
-            if not moved:
-                break
-        if refine:
-            from .components import local_components
-
-            part = local_components([(a, b) for a, b, _ in edges if lab[a] == lab[b]])
-            lab = {i: part.get(i, i) for i in nodes}
-        least: dict[int, int] = {}
-        for i in nodes:
-            least[lab[i]] = min(i, least.get(lab[i], i))
-        lab = {i: least[c] for i, c in lab.items()}
-        if len(least) == len(nodes):
+        both = np.append(src, dst), np.append(dst, src), np.append(w, w)
+        label = _moving_here(*both, ids, k, two_m, resolution, max_rounds, label)
+        part = _refining_here(*both, ids, k, two_m, label, resolution, max_rounds) if refine else label
+        kept, at = np.unique(part, return_inverse=True)
+        if len(kept) == n:
             break
-        member = {i: lab[c] for i, c in member.items()}
-        merged: dict[tuple[int, int], float] = defaultdict(float)
-        inner: dict[int, float] = defaultdict(float)
-        for i in nodes:
-            inner[lab[i]] += loops[i]
-        for a, b, w in edges:
-            x, y = lab[a], lab[b]
-            if x == y:
-                inner[x] += w
-            else:
-                merged[min(x, y), max(x, y)] += w
-        edges, loops, nodes = [(a, b, w) for (a, b), w in merged.items()], inner, sorted(set(lab.values()))
-    return member
+        loops = np.bincount(at, loops, len(kept)) + np.bincount(at[src[at[src] == at[dst]]], w[at[src] == at[dst]], len(kept))
+        low, high = np.minimum(at[src], at[dst]), np.maximum(at[src], at[dst])
+        cross = low != high
+        src, dst, w = _sums(low[cross], high[cross], w[cross], len(kept))
+        member, ids, n = at[member], ids[kept], len(kept)
+        # the next level starts from the communities, named by their least part
+        name = np.unique(label[kept], return_inverse=True)[1]
+        label = np.arange(n) if not refine else np.unique(name, return_index=True)[1][name]
+    return ids[label][member] if refine else ids[member]
 
 
 def louvain(
@@ -191,45 +257,57 @@ def louvain(
 ) -> DataFrame:
     """``(id, label)``: modularity communities, numbered from 0 by descending size, then least member.
 
-    Levels of local moving and contraction until nothing merges. ``refine`` cuts every level's
-    communities into connected parts, so none is disconnected. The first level starts from
-    ``initial(id, label)`` if it is given, else from single nodes. Up to ``local_edges`` edges are solved
-    on the driver, more by DataFrame rounds; both are deterministic.
+    Levels of local moving and contraction until nothing merges. With ``refine`` (Leiden) each level's
+    communities are built anew from well connected parts; these are contracted, and the next level
+    starts from the communities, none of which is disconnected in the end. The first level starts
+    from ``initial(id, label)`` if it is given, else from single nodes. Up to ``local_edges`` edges, the
+    rounds run on arrays of the driver, else on DataFrames; both make the same moves.
     """
-    e = edges.select("src", "dst", "weight")
-    some = e.limit(local_edges + 1).toArrow()
+    e = edges.where("src != dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    e = materialize(e, "community-edges")
     spark = edges.sparkSession
-    if some.num_rows <= local_edges:
-        pairs = list(zip(*(some.column(i).to_pylist() for i in range(3))))
-        touched = sorted({x for a, b, _ in pairs for x in (a, b)})
-        warm = None if initial is None else {r["id"]: r["label"] for r in least_member(initial).join(spark.createDataFrame([(i,) for i in touched], "id long"), "id", "left_semi").collect()}
-        member = _local_louvain(pairs, touched, resolution, refine, max_levels, warm)
-        found = spark.createDataFrame([(int(i), int(c)) for i, c in member.items()], "id long, label long")
-        raw = nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    if e.count() <= local_edges:
+        t = e.toArrow()  # bounded by the count above
+        ends = [t.column(c).to_numpy() for c in ("src", "dst")]
+        ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+        warm = None
+        if initial is not None:
+            known = {r["id"]: r["label"] for r in initial.join(spark.createDataFrame([(i,) for i in ids.tolist()], "id long"), "id", "left_semi").collect()}
+            least: dict = {}
+            for p, i in enumerate(ids.tolist()):
+                if i in known:
+                    least.setdefault(known[i], p)
+            warm = np.array([least.get(known.get(i), p) for p, i in enumerate(ids.tolist())], dtype=np.int64)
+        found = _communities_here(at[: len(ends[0])], at[len(ends[0]) :], t.column("weight").to_numpy(), ids, resolution, refine, max_levels, max_rounds, warm)
+        table = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, found)], "id long, label long")
+        raw = nodes.select("id").join(table, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     else:
         raw = _distributed_louvain(e, nodes, resolution, refine, max_levels, max_rounds, initial)
-    return by_size(raw)
+    return by_size(split_disconnected(e, raw) if refine else raw)
 
 
 def leiden(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
-    """Louvain levels with connected communities."""
+    """:func:`louvain` with the refinement phase: all communities are connected, and built of well connected parts."""
     return louvain(edges, nodes, refine=True, **options)
 
 
 def _distributed_louvain(
     e: DataFrame, nodes: DataFrame, resolution: float, refine: bool, max_levels: int, max_rounds: int, initial: DataFrame | None = None
 ) -> DataFrame:
-    cur, ids, loops = e, nodes.select("id"), None
-    whole = ids.select("id", F.col("id").alias("meta_id"))
+    cur, loops = e, None
+    ends = both_ways(e.select("src", "dst", "weight")).select(F.col("src").alias("id")).distinct()
+    ids = materialize(nodes.select("id").join(ends, "id", "left_semi"), "level-nodes")
+    whole = materialize(ids.select("id", F.col("id").alias("meta_id")), "membership")
+    label = None if initial is None else initial.join(ids, "id", "left_semi")
     for _ in range(max_levels):
-        lab = local_moving(cur, loops, ids, resolution, max_rounds, initial)
-        initial = None
-        if refine:
-            lab = split_disconnected(cur, lab)
-        lab = materialize(lab, "level-labels")
-        if lab.agg(F.count_distinct("label")).first()[0] == ids.count():
+        arms, k, two_m = _strengths(cur, loops, ids)
+        if two_m <= 0:
+            break
+        label = materialize(local_moving(arms, k, two_m, resolution, max_rounds, label), "level-labels")
+        part = materialize(refining(arms, k, two_m, label, resolution, max_rounds), "level-parts") if refine else label
+        if part.agg(F.count_distinct("label")).first()[0] == ids.count():
             break
-        step = lab.select("id", F.col("label").alias("meta_id"))
+        step = part.select("id", F.col("label").alias("meta_id"))
         whole = materialize(project_back(step.select(F.col("id").alias("meta_id"), F.col("meta_id").alias("label")), whole).withColumnRenamed("label", "meta_id"), "membership")
         a, b = step.select(F.col("id").alias("src"), F.col("meta_id").alias("ms")), step.select(F.col("id").alias("dst"), F.col("meta_id").alias("mt"))
         inner = cur.join(a, "src").join(b, "dst").where("ms = mt").select(F.col("ms").alias("id"), "weight")
@@ -237,8 +315,12 @@ def _distributed_louvain(
             inner = inner.unionByName(loops.join(step, "id").select(F.col("meta_id").alias("id"), "weight"))
         loops = materialize(inner.groupBy("id").agg(F.sum("weight").alias("weight")), "loops")
         cur = materialize(contract(cur.withColumn("distance", F.lit(0.0)), step).select("src", "dst", "weight"), "level-edges")
-        ids = step.select(F.col("meta_id").alias("id")).distinct()
-    return whole.select("id", F.col("meta_id").alias("label"))
+        ids = materialize(step.select(F.col("meta_id").alias("id")).distinct(), "level-nodes")
+        label = materialize(label.join(ids, "id", "left_semi"), "level-labels") if refine else None
+    found = whole.select("id", F.col("meta_id").alias("label"))
+    if refine and label is not None:
+        found = project_back(label.select(F.col("id").alias("meta_id"), "label"), whole)
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def by_size(labels: DataFrame) -> DataFrame:
