@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,13 +188,13 @@ def overlap_distribution(merged: DataFrame) -> DataFrame:
     return merged.groupBy("overlap").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def compare_resolutions(runs: list[tuple[str, float, DataFrame]], metric: str = "jaccard") -> DataFrame:
-    """One row for each two runs next to each other by resolution: edge counts, intersection, similarity."""
+def compare_resolutions(runs: list[tuple[str, float, DataFrame]], metric: str = "jaccard", every_pair: bool = False) -> DataFrame:
+    """One row for each two runs next to each other by resolution, or for every two: edge counts, intersection, similarity."""
     if metric not in ("jaccard", "overlap"):
         raise ValueError(f"unknown metric {metric!r}")
     order = sorted(runs, key=lambda x: (x[1], x[0]))
     out = []
-    for (n1, r1, a), (n2, r2, b) in zip(order, order[1:]):
+    for (n1, r1, a), (n2, r2, b) in combinations(order, 2) if every_pair else zip(order, order[1:]):
         c = overlap_counts(a, b)
         both, e1, e2 = F.col("common_edges"), F.col("total_edges1"), F.col("total_edges2")
         den = e1 + e2 - both if metric == "jaccard" else F.least(e1, e2)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import gaussian_similarity
@@ -14,8 +15,12 @@ from .graph import both_ways
 from .refine import median_of
 
 
-def with_similarity(edges: DataFrame, scale: float | str | None = "adaptive", col: str = "distance") -> DataFrame:
-    """``edges`` with ``weight``: Gaussian similarity of ``col``; an adaptive scale is the median."""
+def with_similarity(
+    edges: DataFrame, scale: float | str | None = "adaptive", col: str = "distance", fn: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """``edges`` with ``weight``: Gaussian similarity of ``col``, an adaptive scale being the median, or what ``fn`` makes of it."""
+    if fn is not None:
+        return edges.withColumn("weight", fn(F.col(col)).cast("double"))
     if scale in (None, "adaptive"):
         m = F.broadcast(median_of(edges, col))  # one row
         out = edges.crossJoin(m).withColumn("weight", gaussian_similarity(F.col(col), F.col("median")))
@@ -129,10 +134,10 @@ def coarsen(
     return Coarse(cur, whole, info)
 
 
-def post_sparsify(coarse: Coarse, k: int, scale: float | str | None = "adaptive") -> DataFrame:
+def post_sparsify(coarse: Coarse, k: int, scale: float | str | None = "adaptive", fn: Callable[[Column], Column] | None = None) -> DataFrame:
     """Similarity recomputed from distance, then the top ``k`` by how far the graph has shrunk."""
     ratio = coarse.levels[-1]["n_meta"] / max(coarse.levels[0]["n_nodes"], 1) if coarse.levels else 1.0
-    return top_undirected(with_similarity(coarse.edges.drop("weight"), scale), max(1, int(k * ratio)))
+    return top_undirected(with_similarity(coarse.edges.drop("weight"), scale, fn=fn), max(1, int(k * ratio)))
 
 
 def project_mode(labels: DataFrame, membership: DataFrame) -> DataFrame:

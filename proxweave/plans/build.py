@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Premetric
 from ..operators.clusters import cluster_ranking, community_statistics, interface_edges, prune_clusters, reassign_pruned
 from ..operators.community import label_propagation, leiden, louvain
 from ..operators.graph import ProximityGraph
-from ..operators.knn import distance_stats, knn, reweight, scale_factor, symmetric_edges
+from ..operators.knn import distance_stats, knn, refill_euclidean, reweight, scale_factor, symmetric_edges
 from ..operators.layout import reduce_vectors
 from ..operators.mst import flag_forest, minimum_forest
 from ..operators.refine import refine
@@ -69,6 +70,7 @@ def build_graph(
     n_components: int | None = None,
     variance: float | None = None,
     knn_method: str = "auto",
+    weights_from: str = "reduced",
     use_euclidean: bool = False,
     missing_weight: float = float("inf"),
     self_weight: float = 0.0,
@@ -82,9 +84,12 @@ def build_graph(
 ) -> Built:
     """Nodes ``(id, embedding, ...)`` to a refined graph: neighbours, premetric weights, forest, prune and polish.
 
-    Neighbours are found in the (reduced) embedding; weights are the premetric of ``features`` (by
-    default the embedding too). Everything up to the weighted edges is one lazy plan.
+    Neighbours are found in the (reduced) embedding, and their Euclidean distances are those of it, or with
+    ``weights_from="original"`` of the whole embedding. Weights are the premetric of ``features`` (by default
+    the embedding too). Everything up to the weighted edges is one lazy plan.
     """
+    if weights_from not in ("reduced", "original"):
+        raise ValueError(f"unknown weights_from {weights_from!r}")
     t = Timings()
     vec = nodes.select("id", F.col(embedding).cast("array<double>").alias("v"))
     feats = nodes.select("id", F.col(features or embedding).cast("array<double>").alias("features"))
@@ -92,6 +97,8 @@ def build_graph(
         small, info = reduce_vectors(vec, reduction, n_components=n_components, variance=variance)
     with t("neighbours"):
         near = symmetric_edges(knn(small, k, method=knn_method))
+        if weights_from == "original" and reduction != "none":
+            near = refill_euclidean(near, vec)
         edges = materialize(reweight(near, feats, distance, missing=missing_weight, use_euclidean=use_euclidean), "weighted")
     with t("forest"):
         forest = materialize(minimum_forest(edges), "forest")
@@ -124,6 +131,7 @@ def communities(
     *,
     algorithm: str = "leiden",
     similarity_scale: float | str | None = "adaptive",
+    similarity: Callable[[Column], Column] | None = None,
     pre_k: int | None = 80,
     post_k: int | None = 68,
     coarsen_levels: int = 0,
@@ -135,18 +143,19 @@ def communities(
 ) -> list[CommunityRun]:
     """Communities of ``edges(src, dst, distance)`` at each resolution, with statistics and interface edges.
 
+    ``similarity`` makes one of a distance in place of the Gaussian of ``similarity_scale``.
     With ``warm_start`` each resolution, in ascending order, starts from the communities of the one before.
     """
     if algorithm not in ("louvain", "leiden", "labelprop"):
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    sim = with_similarity(edges.select("src", "dst", "distance"), similarity_scale)
+    sim = with_similarity(edges.select("src", "dst", "distance"), similarity_scale, fn=similarity)
     if pre_k is not None:
         sim = top_per_source(sim, pre_k)
     sim = materialize(sim, "similarity")
     work, ids, back = sim, nodes.select("id"), None
     if coarsen_levels:
         c = coarsen(sim, nodes, levels=coarsen_levels, k=post_k)
-        work = materialize(post_sparsify(c, post_k, similarity_scale) if post_k else c.edges, "coarse")
+        work = materialize(post_sparsify(c, post_k, similarity_scale, similarity) if post_k else c.edges, "coarse")
         back, ids = c.membership, c.membership.select(F.col("meta_id").alias("id")).distinct()
     out, before = [], None
     for r in sorted(resolutions):

@@ -13,6 +13,7 @@ from ..operators import refine as R
 from ..operators import sparsify as S
 from ..operators.graph import ProximityGraph, canonical
 from ..operators.knn import knn, refill_euclidean, reweight, symmetric_edges
+from ..operators.mst import minimum_forest, spans
 from ..session import materialize, shared_dir, table
 from ..sources.store import GraphLoader, export_edges, load_graph, load_runs, read_layout, save_graph, save_run, with_run_columns
 from .queries import COARSE, SHORT_G, START, G, _known, _run, _runs_sql, _short, _smooth, base, features, fixed_graph, graph, ids, labels, query, r6, similar, vectors
@@ -252,6 +253,29 @@ def union_with_duplicates_kept(spark, sf):
     return symmetric_edges(knn(vectors(spark, sf), 10), keep_duplicates=True).select("src", "dst", r6("weight"))
 
 
+@query(G + " SELECT src, dst, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS weight FROM (SELECT src, dst, weight AS distance FROM e)")
+def similarity_of_a_function(spark, sf):
+    e = graph(spark, sf).withColumnRenamed("weight", "distance")
+    return S.with_similarity(e, fn=lambda d: 1 / (1 + d)).select("src", "dst", r6("distance"), r6("weight"))
+
+
+@query(SHORT_G + " SELECT (SELECT count(*) FROM v) - count(DISTINCT component) AS forest_edges, count(DISTINCT component) AS forest_components, count(DISTINCT component) AS graph_components, true AS spans FROM comp")
+def forest_spans_the_graph(spark, sf):
+    e = _short(spark, sf)
+    return spans(materialize(minimum_forest(e), "forest"), e, ids(spark, sf))
+
+
+def _overlap(a: int, b: int) -> str:
+    n = f"(SELECT count(*) FROM i{a} JOIN i{b} USING (src, dst))"
+    return f"SELECT 'r{a}' AS run_id1, 'r{b}' AS run_id2, CAST({a} AS DOUBLE) AS resolution1, CAST({b} AS DOUBLE) AS resolution2, (SELECT count(*) FROM i{a}) AS edges1, (SELECT count(*) FROM i{b}) AS edges2, {n} AS intersection, round({n} / CAST(least((SELECT count(*) FROM i{a}), (SELECT count(*) FROM i{b})) AS DOUBLE), 6) AS similarity"
+
+
+@query(_runs_sql(2, 3, 4) + " " + " UNION ALL ".join(_overlap(a, b) for a, b in ((2, 3), (2, 4), (3, 4))))
+def resolution_comparison_of_all(spark, sf):
+    runs = [(f"r{m}", float(m), _run(spark, sf, m)[1]) for m in (4, 2, 3)]
+    return C.compare_resolutions(runs, "overlap", every_pair=True).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(G + " SELECT count(DISTINCT id) = (SELECT count(*) FROM v) AS connected FROM (SELECT id FROM v WHERE EXISTS (SELECT 1 FROM b WHERE b.src = v.id))")
 def every_node_has_an_edge(spark, sf):
     g = ProximityGraph(ids(spark, sf), fixed_graph(spark, sf))

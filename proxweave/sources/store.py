@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 from xml.sax.saxutils import escape
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +99,22 @@ def load_runs(spark: SparkSession, path: str, kind: str = "interface", run_name:
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, y)`` from a CSV with a header (id first, coordinates after) or a Parquet table of ``id, y``."""
+    """``(id, y)`` from a CSV with a header (id first, coordinates after), a Parquet table of ``id, y``, or an array file.
+
+    The rows of a ``.npy`` matrix are numbered from 0; one file is read by one task.
+    """
+    if path.endswith(".npy"):
+
+        def rows(batches):
+            for b in batches:
+                for content in b.column(0):
+                    m = np.load(io.BytesIO(content.as_py()), allow_pickle=False).astype(np.float64)
+                    for i in range(0, len(m), 8192):
+                        part = m[i : i + 8192]
+                        y = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * m.shape[1], pa.array(part.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), y], names=["id", "y"])
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id long, y array<double>")
     if path.endswith(".csv"):
         df = spark.read.option("header", True).csv(path)
         return df.select(F.col(df.columns[0]).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in df.columns[1:]]).alias("y"))
