@@ -15,14 +15,14 @@ def _signature(edges: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["h"] or 0)
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """``(u, v, m)``: every pair with ``m``, the least node in the closed neighbourhood of ``u``.
+def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(u, v, m)``: every pair with ``m``, the least node in the closed neighbourhood of ``u``; and the stored table behind it.
 
     The least nodes are a table of their own, so that the join is a broadcast while they are few, and
     beyond that one whose hubs AQE can split.
     """
     least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
-    return pairs.join(broadcast_if_small(least), "u").select("u", "v", F.least("u", "m").alias("m"))
+    return pairs.join(broadcast_if_small(least), "u").select("u", "v", F.least("u", "m").alias("m")), least
 
 
 def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -43,24 +43,25 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         if sig[0] == 0:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        starred, first = _star(both)
         large = materialize(
-            _star(both)
-            .where(F.col("v") > F.col("u"))
+            starred.where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .distinct(),
             "large-star",
         )
+        starred, second = _star(large)
         small = (
-            _star(large)
-            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+            starred.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
             .where("u != v")
             .distinct()
         )
         nxt = materialize(small, "edges")
         now = _signature(nxt)
-        drop_table(cur.sparkSession, cur)
+        for done in (first, second, large, cur):  # nothing reads them any more
+            drop_table(cur.sparkSession, done)
         cur = nxt
         if now == sig:
             break
