@@ -72,22 +72,26 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def number_rows(df: DataFrame, order: list[Column], into: str = "rank") -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], into: str = "rank", weight: str | None = None) -> DataFrame:
     """``df`` with ``into``: 0, 1, ... in the order of ``order``, without one global sort task.
 
-    Rows are range-partitioned; each partition is numbered by itself, on top of how many rows come
-    before it. Only a count a partition reaches the driver.
+    With ``weight``, each row counts for that many, and ``into`` is how many come before it. Rows are
+    range-partitioned; each partition is numbered by itself, on top of what comes before it. Only a
+    number a partition reaches the driver. Rows that are equal in ``order`` share a partition, so
+    ``order`` should tell rows apart.
     """
     spark = df.sparkSession
     rows = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    sizes = sorted((r["__p"], r["count"]) for r in rows.groupBy("__p").count().collect())
+    one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    sizes = sorted((r["__p"], r["n"]) for r in rows.groupBy("__p").agg(F.sum(one).alias("n")).collect())
     base, offsets = 0, []
     for p, n in sizes:
         offsets.append((p, base))
         base += n
     start = spark.createDataFrame(offsets, "__p int, __base long")
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return rows.join(F.broadcast(start), "__p").select(*df.columns, (F.col("__base") + rank - 1).alias(into))
+    inside = Window.partitionBy("__p").orderBy(*order)
+    before = F.row_number().over(inside) - 1 if weight is None else F.sum(one).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - one
+    return rows.join(F.broadcast(start), "__p").select(*df.columns, (F.col("__base") + before).alias(into))
 
 
 def dense_ids(df: DataFrame, key: str, into: str) -> DataFrame:

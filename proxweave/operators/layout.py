@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .components import component_labels
+from .components import component_labels, number_rows
 from .graph import both_ways, degrees
 from .sparsify import nearest_per_node, row_stochastic
 
@@ -100,8 +100,8 @@ def quotas(sizes: DataFrame, total: int) -> DataFrame:
     exact = F.greatest(F.lit(total) - F.col("c"), F.lit(0)) * F.col("size") / F.col("n")
     s = s.select("component", "size", exact.alias("x"), F.lit(total).alias("t"), "c").withColumn("base", F.floor("x"))
     rest = F.broadcast(s.agg((F.greatest(F.lit(total) - F.first("c"), F.lit(0)) - F.sum("base")).alias("rest")))
-    order = Window.orderBy(F.desc(F.col("x") - F.col("base")), "component")  # a row a component
-    return s.withColumn("r", F.row_number().over(order)).crossJoin(rest).select("component", F.least(F.col("size"), 1 + F.col("base") + F.when(F.col("r") <= F.col("rest"), 1).otherwise(0)).cast("long").alias("quota"))
+    ranked = number_rows(s, [(F.col("x") - F.col("base")).desc(), F.col("component")], "r")
+    return ranked.crossJoin(rest).select("component", F.least(F.col("size"), 1 + F.col("base") + F.when(F.col("r") < F.col("rest"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
 def blue_noise_landmarks(edges: DataFrame, nodes: DataFrame, n_landmarks: int, *, k: int = 10, hops: int = 1, degree_bias: float = 0.5, seed: int = 42) -> DataFrame:

@@ -16,10 +16,12 @@ from .mst import minimum_forest
 
 
 def median_of(df: DataFrame, col: str) -> DataFrame:
-    """One row ``(median)``, exact, from global ranks."""
-    ranked = number_rows(df.select(F.col(col).alias("y")).where("y is not null"), [F.col("y")], "r")
-    n = F.broadcast(ranked.agg(F.count(F.lit(1)).alias("n")))
-    return ranked.crossJoin(n).where("r >= floor((n - 1) / 2) and r <= floor(n / 2)").agg(F.avg("y").alias("median"))
+    """One row ``(median)``, exact, from global ranks of the distinct values, each with its count: a frequent value is one row."""
+    counted = df.select(F.col(col).alias("y")).where("y is not null").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    ranked = number_rows(counted, [F.col("y")], "r", "n")
+    total = F.broadcast(ranked.agg(F.sum("n").alias("t")))
+    at = lambda place: F.sum(F.when(F.expr(f"{place} >= r and {place} < r + n"), F.col("y")))
+    return ranked.crossJoin(total).agg(((at("floor((t - 1) / 2)") + at("floor(t / 2)")) / 2).alias("median"))  # one row
 
 
 def knee_point(curve: DataFrame, use_median: bool = True) -> DataFrame:

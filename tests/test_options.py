@@ -45,3 +45,13 @@ def test_span_check(spark):
     assert spans(good, edges, nodes).first().asDict() == {"forest_edges": 3, "forest_components": 3, "graph_components": 3, "spans": True}
     assert not spans(edges, edges, nodes).first()["spans"]
     assert not spans(good.where("src != 3"), edges, nodes).first()["spans"]
+
+
+def test_median_counts_a_frequent_value_once(spark):
+    from proxweave.operators.refine import median_of
+
+    rng = np.random.default_rng(5)
+    for values in ([3.0], [1.0, 2.0], [7.0] * 50 + [1.0, 9.0], rng.integers(0, 4, 101).astype(float).tolist(), rng.normal(size=40).tolist()):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "y double")
+        assert median_of(df, "y").first()["median"] == pytest.approx(np.median(values))
+    assert median_of(spark.createDataFrame([], "y double"), "y").first()["median"] is None
