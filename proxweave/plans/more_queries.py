@@ -16,7 +16,7 @@ from ..operators.knn import knn, refill_euclidean, reweight, symmetric_edges
 from ..operators.mst import minimum_forest, spans
 from ..session import materialize, shared_dir, table
 from ..sources.store import GraphLoader, export_edges, load_graph, load_runs, read_layout, save_graph, save_run, with_run_columns
-from .queries import COARSE, SHORT_G, START, G, _known, _run, _runs_sql, _short, _smooth, base, features, fixed_graph, graph, ids, labels, query, r6, similar, vectors
+from .queries import COARSE, SHORT_G, SIM, START, G, _known, _run, _runs_sql, _short, _smooth, base, features, fixed_graph, graph, ids, labels, query, r6, similar, vectors
 
 
 def _folder(spark, name: str) -> str:
@@ -213,20 +213,43 @@ def projected_back(spark, sf):
     return S.project_back(S.project_mode(labels(spark, sf), m), m).select("id", "label")
 
 
-LEVEL = COARSE + """, c1 AS (SELECT least(x.meta_id, y.meta_id) AS src, greatest(x.meta_id, y.meta_id) AS dst, sum(weight) AS weight, min(distance) AS distance
-FROM s JOIN mm x ON x.id = s.src JOIN mm y ON y.id = s.dst WHERE x.meta_id <> y.meta_id GROUP BY 1, 2),
-cb AS (SELECT src, dst, weight FROM c1 UNION ALL SELECT dst, src, weight FROM c1),
-ck AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM cb) WHERE r <= 7),
-z AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(DISTINCT meta_id) FROM mm) AS m)"""
+def _level(i: int, edges: str, nodes: str, k: int) -> str:
+    """One level: mutual pairs of ``edges`` among ``nodes``, contracted, and the top ``k`` of each meta node."""
+    return f""", a{i} AS (SELECT src, dst, weight FROM {edges} UNION ALL SELECT dst, src, weight FROM {edges}),
+best{i} AS (SELECT src, dst AS best FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM a{i}) WHERE r = 1),
+mate{i} AS (SELECT x.src AS id, least(x.src, x.best) AS lead FROM best{i} x JOIN best{i} y ON x.best = y.src AND y.best = x.src),
+ld{i} AS (SELECT n.id, mate{i}.lead IS NULL AS single, coalesce(mate{i}.lead, n.id) AS lead FROM {nodes} n LEFT JOIN mate{i} USING (id)),
+mm{i} AS (SELECT id, CAST(dense_rank() OVER (ORDER BY single, lead) - 1 AS BIGINT) AS meta_id FROM ld{i}),
+c{i} AS (SELECT least(x.meta_id, y.meta_id) AS src, greatest(x.meta_id, y.meta_id) AS dst, sum(weight) AS weight, min(distance) AS distance FROM {edges} e JOIN mm{i} x ON x.id = e.src JOIN mm{i} y ON y.id = e.dst WHERE x.meta_id <> y.meta_id GROUP BY 1, 2),
+t{i} AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM (SELECT src, dst, weight FROM c{i} UNION ALL SELECT dst, src, weight FROM c{i})) WHERE r <= {k}),
+k{i} AS (SELECT c{i}.* FROM c{i} JOIN t{i} USING (src, dst)), n{i} AS (SELECT DISTINCT meta_id AS id FROM mm{i})"""
 
 
-@query(LEVEL + " SELECT 1 AS level, n AS n_nodes, m AS n_meta, round(m / CAST(n AS DOUBLE), 6) AS ratio, (SELECT count(*) FROM ck) AS n_edges, 7 AS k FROM z")
-def coarsening_first_level(spark, sf):
-    c = S.coarsen(similar(spark, sf), ids(spark, sf), levels=1, k=8, min_nodes=10)
+def _level_row(i: int, nodes: str, k: int) -> str:
+    return f"SELECT {i} AS level, (SELECT count(*) FROM {nodes}) AS n_nodes, (SELECT count(*) FROM n{i}) AS n_meta, round((SELECT count(*) FROM n{i}) / CAST((SELECT count(*) FROM {nodes}) AS DOUBLE), 6) AS ratio, (SELECT count(*) FROM k{i}) AS n_edges, {k} AS k"
+
+
+@query(SIM + _level(1, "s", "v", 7) + _level(2, "k1", "n1", 6) + " " + _level_row(1, "v", 7) + " UNION ALL " + _level_row(2, "n1", 6))
+def coarsening_levels(spark, sf):
+    c = S.coarsen(similar(spark, sf), ids(spark, sf), levels=2, k=8, min_nodes=10)
     rows = spark.createDataFrame([tuple(x.values()) for x in c.levels], "level int, n_nodes long, n_meta long, ratio double, n_edges long, k int")
     return rows.withColumn("ratio", F.round("ratio", 6))
 
 
+@query(SIM + _level(1, "s", "v", 7) + _level(2, "k1", "n1", 6) + " SELECT mm1.id, mm2.meta_id FROM mm1 JOIN mm2 ON mm2.id = mm1.meta_id")
+def coarse_membership(spark, sf):
+    return S.coarsen(similar(spark, sf), ids(spark, sf), levels=2, k=8, min_nodes=10).membership
+
+
+@query(SIM + _level(1, "s", "v", 7) + _level(2, "k1", "n1", 6) + """, z AS (SELECT greatest(1, CAST(trunc(20 * ((SELECT count(*) FROM n2) / CAST((SELECT count(*) FROM v) AS DOUBLE))) AS INTEGER)) AS k),
+g AS (SELECT src, dst, distance, exp(-power(distance / 1.0, 2) / 2) AS weight FROM k2),
+top AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)) WHERE r <= (SELECT k FROM z))
+SELECT src, dst, round(weight, 6) AS weight, round(distance, 6) AS distance FROM g JOIN top USING (src, dst)""")
+def post_sparsified(spark, sf):
+    c = S.coarsen(similar(spark, sf), ids(spark, sf), levels=2, k=8, min_nodes=10)
+    return S.post_sparsify(c, 20, 1.0).select("src", "dst", r6("weight"), r6("distance"))
+
+
 @query(_runs_sql(2, 3) + """, t AS (SELECT label % 2 AS x, label % 3 AS y, count(*) AS n FROM v GROUP BY 1, 2), nn AS (SELECT sum(n) AS t FROM t),
 hx AS (SELECT sum(-(n / nn.t) * ln(n / nn.t)) AS h FROM (SELECT x, sum(n) AS n FROM t GROUP BY x), nn), hy AS (SELECT sum(-(n / nn.t) * ln(n / nn.t)) AS h FROM (SELECT y, sum(n) AS n FROM t GROUP BY y), nn),
 hxy AS (SELECT sum(-(n / nn.t) * ln(n / nn.t)) AS h FROM t, nn), r AS (SELECT round(abs(2 * (hx.h + hy.h - hxy.h) / (hx.h + hy.h)), 6) AS x FROM hx, hy, hxy)

@@ -402,12 +402,6 @@ def project_labels_mode(spark, sf):
     return S.project_mode(labels(spark, sf), S.mutual_coarsening(similar(spark, sf), ids(spark, sf)))
 
 
-@query()
-def coarsening_levels(spark, sf):
-    c = S.coarsen(similar(spark, sf), ids(spark, sf), levels=2, k=8, min_nodes=10)
-    return spark.createDataFrame([tuple(x.values()) for x in c.levels], "level int, n_nodes long, n_meta long, ratio double, n_edges long, k int")
-
-
 STO = G + ", st AS (SELECT src, dst, z / sum(z) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, exp(-weight / (median(weight) OVER (PARTITION BY src) + 1e-9)) AS z FROM b))"
 
 
