@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
@@ -275,17 +275,22 @@ def context_tree_scores(
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)).cast("int"))
     listed = materialize(block_dictionary(blocks, depth), "block-dictionary")
 
-    listed_words = listed.where("word is not null").select("block", "word", "n")
-    words = materialize(listed_words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    row = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    # a window and not a join, which would shuffle the lists twice; a frequent word has one narrow row a block
+    by_word = Window.partitionBy("word")
+    words = materialize(
+        listed.where("word is not null").select(
+            "block", "word", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first")
+        ),
+        "word-counts",
+    )
+    row = words.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, vocabulary = int(row["n"] or 0), int(row["v"])
-    known_words = listed_words.select("block", "word").join(words, "word")
 
     listed_grams = listed.where("gram is not null").select("block", "gram", "n")
     counts = materialize(listed_grams.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     values = listed_grams.select("block", "gram").join(tree_log_probabilities(counts, depth), "gram")
     answers = values.select("block", "gram", F.lit(None).cast("binary").alias("word"), "v").unionByName(
-        known_words.select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("v"))
+        words.select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("v"))
     )
     scale = float(n_train + vocabulary + 1)
     kind = blocks.schema["id"].dataType.simpleString()
