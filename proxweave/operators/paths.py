@@ -248,13 +248,16 @@ def diameters(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
 
 def component_statistics(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     """Size, diameter and degree statistics of every component."""
+    return diameters(edges, nodes, **options).join(component_degrees(edges, nodes), "component")
+
+
+def component_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Degree statistics of every component, without any search."""
     labels = component_labels(nodes, edges)
-    d = degrees(edges, nodes).join(labels, "id").groupBy("component")
-    stats = d.agg(
+    return degrees(edges, nodes).join(labels, "id").groupBy("component").agg(
         F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"),
         F.median("degree").alias("median_degree"), F.stddev_pop("degree").alias("std_degree"),
     )
-    return diameters(edges, nodes, **options).join(stats, "component")
 
 
 def low_links(adj: dict[int, list[int]]) -> tuple[list[tuple[int, int, int, int]], dict[int, int]]:
