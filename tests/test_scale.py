@@ -35,3 +35,14 @@ def test_padding_where_no_node_lacks_any(spark):
     assert extra == {(3, 4)}
     low = pad_low_degree(e, v, 3, always=True).collect()
     assert len(low) == 3 + 3 and sum(r["dst"] > 2 for r in low) == 3
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    from proxweave.operators.knn import knn_exact
+
+    df = spark.range(400).selectExpr("id", "array(cast(pmod(id * 7919, 400) as double), cast(pmod(id, 7) as double)) as v")
+    near = knn_exact(df, 3, block_rows=20)
+    plan = near._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    assert "Join Cross" in plan and "Repartition" not in plan.split("Join Cross")[0]
+    got = [tuple(r) for r in near.orderBy("src", "rank").collect()]
+    assert got == [tuple(r) for r in knn_exact(df, 3, block_rows=1000).orderBy("src", "rank").collect()]
