@@ -46,3 +46,26 @@ def test_pairs_of_blocks_are_not_shuffled(spark):
     assert "Join Cross" in plan and "Repartition" not in plan.split("Join Cross")[0]
     got = [tuple(r) for r in near.orderBy("src", "rank").collect()]
     assert got == [tuple(r) for r in knn_exact(df, 3, block_rows=1000).orderBy("src", "rank").collect()]
+
+
+def test_array_searches_equal_dijkstra_and_are_spread(spark):
+    from collections import defaultdict
+
+    import numpy as np
+
+    from proxweave.operators import paths as P
+
+    rng = np.random.default_rng(5)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 40, (70, 2)).tolist() if a != b})
+    rows = [(a, b, float(rng.integers(1, 4))) for a, b in pairs]  # many ties
+    e, v = graph_of(spark, rows, 42)
+    adj = P.local_adjacency(e)
+    want = defaultdict(float)
+    for s in adj:
+        for i, x in P.brandes(adj, s).items():
+            want[i] += x / 2
+    got = {r["id"]: r["centrality"] for r in P.betweenness(e, v, normalized=False).collect()}
+    assert len(got) == 42 and np.allclose([got[i] for i in range(42)], [want[i] for i in range(42)])
+    far = {r["id"]: r["farthest"] for r in P.reaches(e, v).collect()}
+    assert all(far[s] == max(P.dijkstra(adj, s)[0].values()) for s in adj)
+    assert P.reaches(e, v).rdd.getNumPartitions() > 100
