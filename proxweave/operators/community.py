@@ -254,7 +254,7 @@ def louvain(
     max_levels: int = 10,
     max_rounds: int = 24,
     initial: DataFrame | None = None,
-    local_edges: int = 100_000,
+    local_edges: int = 1_000_000,
 ) -> DataFrame:
     """``(id, label)``: modularity communities, numbered from 0 by descending size, then least member.
 

@@ -69,3 +69,11 @@ def test_array_searches_equal_dijkstra_and_are_spread(spark):
     far = {r["id"]: r["farthest"] for r in P.reaches(e, v).collect()}
     assert all(far[s] == max(P.dijkstra(adj, s)[0].values()) for s in adj)
     assert P.reaches(e, v).rdd.getNumPartitions() > 100
+
+
+def test_communities_of_a_million_edges_run_in_arrays():
+    import inspect
+
+    from proxweave.operators.community import louvain
+
+    assert inspect.signature(louvain).parameters["local_edges"].default >= 1_000_000
