@@ -77,3 +77,13 @@ def test_communities_of_a_million_edges_run_in_arrays():
     from proxweave.operators.community import louvain
 
     assert inspect.signature(louvain).parameters["local_edges"].default >= 1_000_000
+
+
+def test_two_hops_by_bits_equal_the_join(spark):
+    from proxweave.operators.refine import two_hop
+
+    e, _ = graph_of(spark, [(i * 3, (i * j) % 97 * 3 + 1, 1.0) for i in range(60) for j in (2, 5, 7)], 1)
+    e = e.selectExpr("least(src, dst) as src", "greatest(src, dst) as dst").distinct()
+    by_bits = two_hop(e, wedges=0)
+    assert "ArrowPython" not in two_hop(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert by_bits.count() == by_bits.distinct().count() and {tuple(r) for r in by_bits.collect()} == {tuple(r) for r in two_hop(e).collect()}
