@@ -87,3 +87,32 @@ def test_two_hops_by_bits_equal_the_join(spark):
     by_bits = two_hop(e, wedges=0)
     assert "ArrowPython" not in two_hop(e)._jdf.queryExecution().optimizedPlan().toString()
     assert by_bits.count() == by_bits.distinct().count() and {tuple(r) for r in by_bits.collect()} == {tuple(r) for r in two_hop(e).collect()}
+
+
+def test_spectral_layout_beyond_the_whole_matrix(spark):
+    import numpy as np
+
+    from proxweave.operators.layout import spectral_layout
+
+    rng = np.random.default_rng(3)
+
+    def ring(low, n):
+        return [(low + i, low + (i + s) % n, float(rng.uniform(0.2, 1))) for i in range(n) for s in (1, 2, 5)]
+
+    def matrix(rows, n):
+        a = np.zeros((n, n))
+        for i, j, w in rows:
+            a[i, j] = a[j, i] = w
+        scale = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
+        return scale[:, None] * a * scale[None, :]
+
+    whole = ring(0, 60)
+    e, v = graph_of(spark, whole, 60)
+    dense, sparse = ({r["id"]: r["y"] for r in spectral_layout(e, v, 3, local_nodes=m).collect()} for m in (100, 0))
+    assert dense.keys() == sparse.keys() and np.allclose([dense[i] for i in range(60)], [sparse[i] for i in range(60)], atol=1e-6)
+    parts = ring(0, 30) + ring(30, 20)  # and nodes 50, 51 alone
+    e, v = graph_of(spark, parts, 52)
+    y = np.array([r["y"] for r in spectral_layout(e, v, 3, local_nodes=0).orderBy("id").collect()])
+    a = matrix(parts, 52)
+    want = np.sort(np.linalg.eigvalsh(np.eye(52) - a))[1:4]
+    assert np.allclose(y.T @ y, np.eye(3)) and np.allclose(y - a @ y, y * want, atol=1e-6)
