@@ -116,3 +116,30 @@ def test_spectral_layout_beyond_the_whole_matrix(spark):
     a = matrix(parts, 52)
     want = np.sort(np.linalg.eigvalsh(np.eye(52) - a))[1:4]
     assert np.allclose(y.T @ y, np.eye(3)) and np.allclose(y - a @ y, y * want, atol=1e-6)
+
+
+def test_neighbours_of_the_index_are_exact_if_asked(spark):
+    import numpy as np
+
+    from proxweave.operators.knn import knn_exact, knn_ivf
+
+    x = np.random.default_rng(8).integers(0, 4, (600, 6)).astype(float)  # many ties and copies
+    v = spark.createDataFrame([(5 * i, r) for i, r in enumerate(x.tolist())], "id long, v array<double>")
+    exact = {tuple(r) for r in knn_exact(v, 4).collect()}
+    options = {"cells": 40, "probes": 2}
+    assert {tuple(r) for r in knn_ivf(v, 4, **options, exact=True).collect()} == exact
+    assert {tuple(r) for r in knn_ivf(v, 4, **options).collect()} != exact
+
+
+def test_single_precision_rules_out_no_neighbour(spark):
+    import numpy as np
+
+    from proxweave.operators import knn as K
+
+    rng = np.random.default_rng(4)
+    for shift, spread in ((0.0, 1.0), (1e6, 1.0), (1e3, 1e-4), (0.0, 1e25)):
+        a, b = (shift + spread * rng.standard_normal((n, 5)) for n in (70, 900))
+        d = K._exact(a[:, None, :], b[None], "euclidean")
+        limit = np.sort(d, 1)[:, 9]
+        i, j, x = K._within(a, b, np.arange(70), np.arange(100, 1000), limit, "euclidean")
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(d <= limit[:, None])))) and np.array_equal(x, d[i, j])
