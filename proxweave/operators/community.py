@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 import warnings
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,36 +157,71 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return component_roots(lab, inside).select("id", F.col("root").alias("label"))
 
 
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+ARCS = 1 << 20  # arcs whose options are held at once
+
+
+def _mixed(h: np.ndarray, turn: int, times: np.uint64, plus: np.uint64) -> np.ndarray:
+    h = ((h << np.uint64(turn)) | (h >> np.uint64(64 - turn))) * times + plus
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
 def _halves(ids: np.ndarray, r: int) -> np.ndarray:
-    """Whose turn it is in round ``r``: the same hash as in the DataFrame rounds."""
-    last = struct.pack("<i", r)
-    return np.array([xxhash.xxh64_intdigest(last, xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) % 2 == 0 for i in ids.tolist()], dtype=bool)
+    """Whose turn it is in round ``r``: the same hash (XXH64 of id, then round) as in the DataFrame rounds."""
+    x = ids.astype(np.int64).view(np.uint64) * P2
+    x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * P1
+    h = _mixed(x ^ (np.uint64(42 + 8) + P5), 27, P1, P4)
+    h = _mixed((h + P5 + np.uint64(4)) ^ (np.full(len(ids), r, np.uint64) * P1), 23, P2, P3)
+    return h % np.uint64(2) == 0
 
 
 def _sums(node: np.ndarray, label: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, at = np.unique(node * n + label, return_inverse=True)
-    return key // n, key % n, np.bincount(at, w, len(key))
+    """Distinct pairs in order, and the sum of ``w`` of each."""
+    key = node.astype(np.int64) * n + label
+    order = np.argsort(key, kind="stable")
+    key, w = key[order], w[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    kept = key[new]
+    return kept // n, kept % n, np.bincount(np.cumsum(new) - 1, w, len(kept))
 
 
-def _first_best(node: np.ndarray, label: np.ndarray, gain: np.ndarray) -> np.ndarray:
-    """Places of each node's greatest gain, of equal ones the least label."""
-    order = np.lexsort((label, -gain, node))
-    return order[np.append(True, node[order][1:] != node[order][:-1])] if len(order) else order
+def _first_best(node: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Places of each node's greatest gain, the first of equal ones; nodes, and their labels, ascend."""
+    if not len(node):
+        return np.zeros(0, np.int64)
+    start = np.nonzero(np.append(True, node[1:] != node[:-1]))[0]
+    at = np.nonzero(gain == np.repeat(np.maximum.reduceat(gain, start), np.diff(np.append(start, len(node)))))[0]
+    return at[np.append(True, node[at][1:] != node[at][:-1])]
+
+
+def _arcs(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both directions, by node."""
+    rows = np.append(src, dst).astype(np.int32)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], np.append(dst, src).astype(np.int32)[order], np.append(w, w)[order]
 
 
 def _moving_here(src, dst, w, ids, k, two_m, resolution, max_rounds, label) -> np.ndarray:
-    """:func:`local_moving` in arrays; nodes and labels are places in ``ids``, which ascend."""
-    n, still, every = len(ids), 0, np.arange(len(ids))
+    """:func:`local_moving` in arrays; nodes and labels are places in ``ids``, which ascend, and so does ``src``."""
+    n, still = len(ids), 0
+    start = np.searchsorted(src, np.arange(n + 1))
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(ARCS, len(src), ARCS)), n))
     for r in range(max_rounds):
-        vol = np.bincount(label, k, n)
-        node, lab, total = _sums(np.append(src, every), np.append(label[dst], label), np.append(w, np.zeros(n)), n)
-        at_home = lab == label[node]
-        gain = np.round(total - resolution * k[node] * (vol[lab] - np.where(at_home, k[node], 0.0)) / two_m, 9)
-        best = _first_best(node, lab, gain)  # one a node, in their order
-        new, top, base = lab[best], gain[best], gain[at_home]
-        move = _halves(ids, r) & (top > base) & ((r % 4 < 2) == (new < label))
-        still = 0 if (move & (new != label)).any() else still + 1
-        label = np.where(move, new, label)
+        vol, turn, moved = np.bincount(label, k, n), _halves(ids, r), label.copy()
+        for lo, hi in zip(np.append(0, cuts), cuts):
+            at = start[lo] + np.nonzero(turn[src[start[lo] : start[hi]]])[0]
+            every = lo + np.nonzero(turn[lo:hi])[0]
+            node, lab, total = _sums(np.append(src[at], every), np.append(label[dst[at]], label[every]), np.append(w[at], np.zeros(len(every))), n)
+            at_home = lab == label[node]
+            gain = np.round(total - resolution * k[node] * (vol[lab] - np.where(at_home, k[node], 0.0)) / two_m, 9)
+            best = _first_best(node, gain)  # one a node, in their order
+            new, top, base = lab[best], gain[best], gain[at_home]
+            move = (top > base) & ((r % 4 < 2) == (new < label[every]))
+            moved[every[move]] = new[move]
+        still = 0 if (moved != label).any() else still + 1
+        label = moved
         if still == 4:
             break
     return label
@@ -211,7 +245,7 @@ def _refining_here(src, dst, w, ids, k, two_m, label, resolution, max_rounds) ->
         node, lab, total = _sums(src[use], ref[dst[use]], w[use], n)
         gain = np.round(total - resolution * k[node] * vol[lab] / two_m, 9)
         node, lab, gain = node[gain > 0], lab[gain > 0], gain[gain > 0]
-        best = _first_best(node, lab, gain)
+        best = _first_best(node, gain)
         ref[node[best]] = lab[best]
         still = 0 if len(best) else still + 1
         if still == 4:
@@ -228,7 +262,7 @@ def _communities_here(src, dst, w, ids, resolution: float, refine: bool, max_lev
         two_m = k.sum()
         if two_m <= 0:
             break
-        both = np.append(src, dst), np.append(dst, src), np.append(w, w)
+        both = _arcs(src, dst, w)
         label = _moving_here(*both, ids, k, two_m, resolution, max_rounds, label)
         part = _refining_here(*both, ids, k, two_m, label, resolution, max_rounds) if refine else label
         kept, at = np.unique(part, return_inverse=True)
@@ -254,7 +288,7 @@ def louvain(
     max_levels: int = 10,
     max_rounds: int = 24,
     initial: DataFrame | None = None,
-    local_edges: int = 1_000_000,
+    local_edges: int = 8_000_000,
 ) -> DataFrame:
     """``(id, label)``: modularity communities, numbered from 0 by descending size, then least member.
 
@@ -270,17 +304,18 @@ def louvain(
     if e.count() <= local_edges:
         t = e.toArrow()  # bounded by the count above
         ends = [t.column(c).to_numpy() for c in ("src", "dst")]
-        ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+        ids = np.unique(np.concatenate(ends))
+        src, dst = (np.searchsorted(ids, x) for x in ends)
         warm = None
         if initial is not None:
-            known = {r["id"]: r["label"] for r in initial.join(spark.createDataFrame([(i,) for i in ids.tolist()], "id long"), "id", "left_semi").collect()}
-            least: dict = {}
-            for p, i in enumerate(ids.tolist()):
-                if i in known:
-                    least.setdefault(known[i], p)
-            warm = np.array([least.get(known.get(i), p) for p, i in enumerate(ids.tolist())], dtype=np.int64)
-        found = _communities_here(at[: len(ends[0])], at[len(ends[0]) :], t.column("weight").to_numpy(), ids, resolution, refine, max_levels, max_rounds, warm)
-        table = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, found)], "id long, label long")
+            known = initial.join(spark.createDataFrame(pa.table({"id": ids}), "id long"), "id", "left_semi").select("id", "label").toArrow()
+            place, name = np.searchsorted(ids, known.column("id").to_numpy()), np.unique(known.column("label").to_numpy(), return_inverse=True)[1]
+            least = np.full(len(place), len(ids))
+            np.minimum.at(least, name, place)
+            warm = np.arange(len(ids))
+            warm[place] = least[name]
+        found = _communities_here(src, dst, t.column("weight").to_numpy(), ids, resolution, refine, max_levels, max_rounds, warm)
+        table = spark.createDataFrame(pa.table({"id": ids, "label": found}), "id long, label long")
         raw = nodes.select("id").join(table, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     else:
         raw = _distributed_louvain(e, nodes, resolution, refine, max_levels, max_rounds, initial)

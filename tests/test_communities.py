@@ -69,3 +69,32 @@ def test_resolution_and_empty(spark):
     none = edges.limit(0)
     for limit in (100, 0):
         assert len(set(labels_of(leiden(none, nodes, local_edges=limit)).values())) == 48
+
+
+def test_turns_in_arrays_are_those_of_dataframes(spark):
+    from pyspark.sql import functions as F
+
+    from proxweave.operators.community import _halves
+
+    ids = [0, 1, -1, 7, 2**40 + 3, -(2**62), *range(100, 400)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for r in (0, 1, 23):
+        turn = {x["id"]: x["t"] for x in df.select("id", (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0).alias("t")).collect()}
+        assert _halves(np.array(ids), r).tolist() == [turn[i] for i in ids]
+
+
+def test_moves_in_pieces_are_the_same(monkeypatch):
+    from proxweave.operators import community as C
+
+    rows = planted(np.random.default_rng(6), 5, 12, 0.5, 0.05)
+    src, dst, w = (np.array(x) for x in zip(*rows))
+    run = lambda: C._communities_here(src, dst, w, 3 * np.arange(60), 1.0, True, 10, 24, None)
+    whole = run()
+    monkeypatch.setattr(C, "ARCS", 7)
+    assert (run() == whole).all() and 1 < len(set(whole)) < 60
+
+
+def test_six_gigabytes_of_edges_run_in_arrays():
+    import inspect
+
+    assert inspect.signature(louvain).parameters["local_edges"].default >= 5_000_000
