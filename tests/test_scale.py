@@ -143,3 +143,15 @@ def test_single_precision_rules_out_no_neighbour(spark):
         limit = np.sort(d, 1)[:, 9]
         i, j, x = K._within(a, b, np.arange(70), np.arange(100, 1000), limit, "euclidean")
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(d <= limit[:, None])))) and np.array_equal(x, d[i, j])
+
+
+def test_blocks_of_large_tables_have_more_rows(spark, monkeypatch):
+    from proxweave.operators import knn as K
+
+    seen = []
+    monkeypatch.setattr(K, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(K, "materialize", lambda df, label: df)
+    monkeypatch.setattr(K, "_scan_pairs", lambda packed, blocks: seen.append(blocks) or packed)
+    for n in (256, 1024, 4096):
+        K.knn_exact(spark.range(n).selectExpr("id", "array(cast(id as double)) as v"), 2)
+    assert seen == [64, 64, 256] and K.SLICES <= 4
