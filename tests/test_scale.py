@@ -155,3 +155,14 @@ def test_blocks_of_large_tables_have_more_rows(spark, monkeypatch):
     for n in (256, 1024, 4096):
         K.knn_exact(spark.range(n).selectExpr("id", "array(cast(id as double)) as v"), 2)
     assert seen == [64, 64, 256] and K.SLICES <= 4
+
+
+def test_candidates_of_the_exact_search_grow_with_the_rows(spark, monkeypatch):
+    from proxweave.operators import knn as K
+
+    seen, top = [], K._top
+    monkeypatch.setattr(K, "_top", lambda found, k: seen.append(found.count()) or top(found, k))
+    for n in (120, 480):  # 6 and 24 blocks
+        df = spark.range(n).selectExpr("id", f"array(cast(pmod(id * 7919, {n}) as double), cast(pmod(id, 7) as double)) as v")
+        assert K.knn_exact(df, 3, block_rows=20).count() == 3 * n
+    assert all(s <= 4 * 3 * n for s, n in zip(seen, (120, 480))) and len(seen) == 2
